@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from footmark.functions.rules import Rule
 
-NO_STRING = F.lit(None).cast("string")
+def no_string() -> Column:
+    return F.lit(None).cast("string")
 
 
 def any_of(tests: Iterable[Column]) -> Column:
@@ -41,7 +42,7 @@ def regex_any(text: Column, patterns: Iterable[str]) -> Column:
 def chain(branches: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
     """The value of the first branch whose test holds."""
     if not branches:
-        return NO_STRING if otherwise is None else otherwise
+        return no_string() if otherwise is None else otherwise
     col = F.when(*branches[0])
     for test, value in branches[1:]:
         col = col.when(test, value)

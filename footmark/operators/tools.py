@@ -79,7 +79,7 @@ def match_tool_paths(candidates: DataFrame, inventory: DataFrame) -> DataFrame:
         "case_id", "tool_id", "ord", F.col("candidate").alias("path"))
     depth = F.size(F.split("candidate", "/"))
     globs = candidates.where(wild).select(
-        "case_id", "tool_id", "ord", glob_regex(F.col("candidate")).alias("pattern"), depth.alias("depth"),
+        "case_id", "tool_id", "ord", "candidate", glob_regex(F.col("candidate")).alias("pattern"), depth.alias("depth"),
         F.regexp_extract("candidate", r"^([^*?]*/)?", 0).alias("folder"))
     # Every leading folder of a file, each file only at the depth of its own path.
     parts = F.split("path", "/")
@@ -87,8 +87,8 @@ def match_tool_paths(candidates: DataFrame, inventory: DataFrame) -> DataFrame:
         i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
     by_folder = files.select("case_id", "path", F.size(parts).alias("depth"), F.explode(folders).alias("folder"))
     wide = globs.join(by_folder, ["case_id", "folder", "depth"]).where(F.rlike("path", F.col("pattern"))).groupBy(
-        "case_id", "tool_id", "ord").agg(F.min("path").alias("path"))
-    return plain.unionByName(wide)
+        "case_id", "tool_id", "ord", "candidate").agg(F.min("path").alias("path"))
+    return plain.unionByName(wide.drop("candidate"))
 
 
 def _notes_have(*words: str) -> Column:
@@ -175,12 +175,14 @@ def checklist(tools: DataFrame, case_os: DataFrame, profiles: DataFrame, invento
     every = case_os.join(described.withColumn("os", F.explode(systems)), "os")
     has_templates = F.size(F.coalesce(F.element_at("artifact_path_candidates", F.col("os")), F.array().cast("array<string>"))) > 0
     supported = F.array_contains("platform_supported", F.col("os")) | (F.col("os") == V.UNKNOWN)
-    joined = every.join(hits, ["case_id", "tool_id"], "left").withColumns({
-        "paths": F.coalesce("paths", F.array().cast("array<string>")),
-        "class_count": F.coalesce("class_count", F.lit(0)), "os_supported": supported})
+    looked_for = supported & has_templates
+    joined = every.join(hits, ["case_id", "tool_id"], "left").withColumn("os_supported", supported).withColumns({
+        "paths": F.coalesce(F.when(looked_for, F.col("paths")), F.array().cast("array<string>")),
+        "class_count": F.coalesce(F.when(looked_for, F.col("class_count")), F.lit(0)),
+        "looked_for": looked_for})
     count = F.size("paths")
-    status = F.when(~F.col("os_supported") | ~has_templates, NOT_VERIFIED).when(count > 0, FOUND).otherwise(NOT_FOUND)
-    out = joined.withColumn("status", status).withColumn("artifact_count", F.when(F.col("status") == FOUND, count).otherwise(0))
+    status = F.when(~F.col("looked_for"), NOT_VERIFIED).when(count > 0, FOUND).otherwise(NOT_FOUND)
+    out = joined.withColumn("status", status).withColumn("artifact_count", count).drop("looked_for")
     return caveat_flags(derive_checklist(out)).drop("artifact_path_candidates", "platform_supported")
 
 

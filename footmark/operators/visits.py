@@ -136,9 +136,9 @@ def detect_toolchain(visits: DataFrame) -> DataFrame:
 
     tool = M.chain([(text.rlike("(?i)" + p), F.lit(n)) for p, n in V.TOOLCHAIN_PATTERNS])
     slots = F.array(
-        slot("plugin_url", M.regex_any(text, V.PLUGIN_PATTERNS), M.NO_STRING),
+        slot("plugin_url", M.regex_any(text, V.PLUGIN_PATTERNS), M.no_string()),
         slot("toolchain_url", tool.isNotNull(), tool),
-        slot("rag_url", M.regex_any(text, V.VECTOR_STORE_PATTERNS), M.NO_STRING),
+        slot("rag_url", M.regex_any(text, V.VECTOR_STORE_PATTERNS), M.no_string()),
     )
     return visits.withColumn("found", F.explode(F.array_compact(slots))).select(
         *visits.columns, "found.trace", "found.tool")
