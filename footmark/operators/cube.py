@@ -76,10 +76,10 @@ def session_numbers(cube: DataFrame, keys: list[str]) -> DataFrame:
     before = F.max("max_at").over(by_hour.rangeBetween(Window.unboundedPreceding, -1))
     start = F.min("min_at").over(by_hour.rangeBetween(0, 0))
     rows = cube.withColumn("hour_no", number).withColumn("before", before).withColumn("start", start)
-    in_order = Window.partitionBy(*keys).orderBy("hour_no", *[d for d in cube.columns if d in DIMENSIONS and d not in keys])
-    first_of_hour = ~F.lag("hour_no").over(in_order).eqNullSafe(F.col("hour_no"))
+    first_of_hour = ~F.lag("hour_no").over(by_hour).eqNullSafe(F.col("hour_no"))
     breaks = F.coalesce(first_of_hour & (F.col("start") - F.col("before") > GAP_MICROS), F.lit(False))
-    running = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    # Same partitions and order as above, so the rows are not sorted again and the first row of an hour stays first.
+    running = by_hour.rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("breaks", breaks.cast("int"))
         .withColumn("session_no", F.sum("breaks").over(running) + 1)

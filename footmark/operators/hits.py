@@ -14,17 +14,24 @@ from footmark.functions import matching as M
 from footmark.functions.rules import RuleBook
 from footmark.operators.artifacts import as_artifacts
 
-Pattern = tuple[str, str, str]  # hit type, regular expression, platform
+# hit type, regular expression, platform, and a lower-case string that every match contains (or none)
+Pattern = tuple[str, str, str, str | None]
+
+
+# --- fixed values: a plain lower-case string inside every match, per pattern -------
+MODEL_ANCHORS = ["gpt-4", "gpt-3.5-turbo", "claude-3", "claude-2", "gemini-", "dall", "whisper-", "codex"]
+EXPORT_ANCHORS = ['"model"', '"model"', '"conversation_id"', '"message_id"', '"author"', '"parts"']
+TOKEN_ANCHORS = ["sk-", "sk-ant-", "sess-"]
 
 
 def hit_patterns(keywords: list[str] = ()) -> list[Pattern]:
     """The scan's patterns in order; own keywords come last and are taken literally."""
     return (
-        [("Domain Hit", p, platform) for p, platform in V.HIT_DOMAINS]
-        + [("Model Name Hit", p, V.UNKNOWN) for p in V.HIT_MODELS]
-        + [("Export Marker", p, V.UNKNOWN) for p in V.HIT_EXPORT_MARKERS]
-        + [("Platform Token", p, platform) for p, platform in V.HIT_TOKENS]
-        + [("Generic String", re.escape(k), V.UNKNOWN) for k in keywords]
+        [("Domain Hit", p, platform, p.replace("\\", "").split(".*")[0].lower()) for p, platform in V.HIT_DOMAINS]
+        + [("Model Name Hit", p, V.UNKNOWN, a) for p, a in zip(V.HIT_MODELS, MODEL_ANCHORS)]
+        + [("Export Marker", p, V.UNKNOWN, a) for p, a in zip(V.HIT_EXPORT_MARKERS, EXPORT_ANCHORS)]
+        + [("Platform Token", p, platform, a) for (p, platform), a in zip(V.HIT_TOKENS, TOKEN_ANCHORS)]
+        + [("Generic String", re.escape(k), V.UNKNOWN, k.lower()) for k in keywords]
     )
 
 
@@ -32,68 +39,76 @@ def _flagged(kind: str, pattern: str) -> str:
     return pattern if kind == "Platform Token" else "(?i)" + pattern
 
 
+def _with_hits(df: DataFrame, text_col: str, patterns: list[Pattern]) -> DataFrame:
+    """Texts that may contain a hit, with their lower-case form: plain search for the anchors, no pattern yet."""
+    lowered = df.withColumn("text_lower", F.lower(text_col))
+    if any(a is None for *_, a in patterns):
+        return lowered
+    return lowered.where(M.contains_any(F.col("text_lower"), [a for *_, a in patterns]))
+
+
 def scan_hit_values(df: DataFrame, text_col: str, patterns: list[Pattern]) -> DataFrame:
     """Every hit as a row with its type, pattern number, platform and text; stays in the JVM.
 
-    Token hits keep a placeholder instead of the secret.
+    A pattern runs only on texts that contain its anchor.  Token hits keep a
+    placeholder instead of the secret.
     """
-    def hits(i: int, kind: str, pattern: str, platform: str) -> Column:
+    none = F.array().cast("array<struct<pattern_no:int,hit_type:string,platform:string,matched:string>>")
+
+    def hits(i: int, kind: str, pattern: str, platform: str, anchor: str | None) -> Column:
         found = F.regexp_extract_all(F.col(text_col), F.lit(_flagged(kind, pattern)), 0)
-        return F.transform(found, lambda m: F.struct(
+        rows = F.transform(found, lambda m: F.struct(
             F.lit(i).alias("pattern_no"), F.lit(kind).alias("hit_type"), F.lit(platform).alias("platform"),
             (F.lit(V.TOKEN_PLACEHOLDER) if kind == "Platform Token" else m).alias("matched")))
+        return rows if anchor is None else F.when(
+            F.contains(F.col("text_lower"), F.lit(anchor)), rows).otherwise(none)
 
     keep = [c for c in df.columns if c != text_col]
-    # One cheap test drops texts without any hit before the patterns run one by one.
-    rows = df.where(F.col(text_col).rlike("|".join(f"(?:{_flagged(k, p)})" for k, p, _ in patterns)))
     every = F.flatten(F.array(*[hits(i, *p) for i, p in enumerate(patterns)]))
-    return rows.select(*keep, F.explode(every).alias("hit")).select(*keep, "hit.*")
+    return _with_hits(df, text_col, patterns).select(*keep, F.explode(every).alias("hit")).select(*keep, "hit.*")
 
 
 def scan_hits(df: DataFrame, text_col: str, patterns: list[Pattern], cap: int | None = None) -> DataFrame:
     """Every hit with byte offset, length and context, in (offset, pattern) order per text.
 
     Offsets of all hits of a text are more than SQL functions give, so texts
-    that contain a hit go through ``mapInPandas``; the others never leave the
-    JVM.  ``cap`` keeps the first hits per text, for callers who want that.
+    that contain an anchor go through ``mapInPandas``; the others never leave
+    the JVM.  ``cap`` keeps the first hits per text, for callers who want that.
     """
     keep = [c for c in df.columns if c != text_col]
-    rows = df.where(F.col(text_col).rlike("|".join(f"(?:{_flagged(k, p)})" for k, p, _ in patterns)))
-    compiled = [(i, k, re.compile(p.encode(), 0 if k == "Platform Token" else re.I), platform)
-                for i, (k, p, platform) in enumerate(patterns)]
+    rows = _with_hits(df, text_col, patterns).select(*keep, text_col)
+    compiled = [(i, k, re.compile(p.encode(), 0 if k == "Platform Token" else re.I), platform,
+                 None if a is None else a.encode()) for i, (k, p, platform, a) in enumerate(patterns)]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
     schema = (fields + ", " if fields else "") + (
         "hit_no int, pattern_no int, hit_type string, platform string, offset bigint, length int, "
         "matched string, context string")
+    names = ["hit_no", "pattern_no", "hit_type", "platform", "offset", "length", "matched", "context"]
 
     def one_text(text: str) -> list[tuple]:
         data = text.encode()
-        found = sorted(((m.start(), i, k, platform, m) for i, k, rx, platform in compiled
-                        for m in rx.finditer(data)), key=lambda h: h[:2])
+        lowered = data.lower()
+        found = sorted(((m.start(), i, k, platform, m) for i, k, rx, platform, anchor in compiled
+                        if anchor is None or anchor in lowered for m in rx.finditer(data)), key=lambda h: h[:2])
         out = []
         for n, (at, i, kind, platform, m) in enumerate(found if cap is None else found[:cap]):
             span = 128 if kind == "Export Marker" else 64
-            around = data[max(0, at - span):at + span].decode(errors="replace").replace("\0", "")[:256]
             secret = kind == "Platform Token"
+            around = V.TOKEN_CONTEXT if secret else (
+                data[max(0, at - span):at + span].decode(errors="replace").replace("\0", "")[:256])
             out.append((n, i, kind, platform, at, m.end() - at,
-                        V.TOKEN_PLACEHOLDER if secret else m.group().decode(errors="replace"),
-                        V.TOKEN_CONTEXT if secret else around))
+                        V.TOKEN_PLACEHOLDER if secret else m.group().decode(errors="replace"), around))
         return out
 
-    names = ["hit_no", "pattern_no", "hit_type", "platform", "offset", "length", "matched", "context"]
-
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                values = row._asdict() if hasattr(row, "_asdict") else dict(zip(batch.columns, row))
-                hits = one_text(values[text_col])
-                if hits:
-                    out = pd.DataFrame(hits, columns=names)
-                    for i, c in enumerate(keep):
-                        out.insert(i, c, values[c])
-                    yield out
+            found = [(i, *hit) for i, text in enumerate(batch[text_col]) for hit in one_text(text)]
+            if found:
+                hits = pd.DataFrame(found, columns=["row", *names])
+                kept = batch[keep].iloc[hits["row"]].reset_index(drop=True)
+                yield pd.concat([kept, hits[names]], axis=1)
 
-    return rows.select(*keep, text_col).mapInPandas(scan, schema)
+    return rows.mapInPandas(scan, schema)
 
 
 def redact_key(key: Column) -> Column:
@@ -126,7 +141,7 @@ def first_rule_hits(df: DataFrame, source: str, text_col: str, rules: RuleBook)
     lowered = F.col("text_lower")
     wanted = [r for k, n in kinds.items() for r in rules.of(k) if len(r.pattern) >= n]
     slots = [
-        F.when(F.position(F.lit(r.pattern.lower()), lowered) > 0, F.struct(
+        F.when(F.contains(lowered, F.lit(r.pattern.lower())), F.struct(
             F.lit(r.kind).alias("kind"), F.lit(r.platform).alias("platform"), F.lit(r.pattern).alias("pattern"),
             F.position(F.lit(r.pattern.lower()), lowered).cast("bigint").alias("offset")))
         for r in wanted]

@@ -77,17 +77,21 @@ def platform_heads(rows: DataFrame) -> DataFrame:
 
 
 def family_links(artifacts: DataFrame) -> DataFrame:
-    """Appends to ``links`` the first three others of a platform that shows two or more families."""
-    base = artifacts if "links" in artifacts.columns else artifacts.withColumn("links", _no_links())
-    rows = with_salt(base)
+    """Adds ``links``: the first three others of a platform that shows two or more families."""
+    rows = with_salt(artifacts)
     linked = join_back(rows, platform_heads(rows), ["case_id", "suspected_platform"])
-    more = _others(F.col("platform_heads"), FAMILY_LINKS)
-    return linked.withColumn("links", F.array_union("links", more)).drop("platform_heads", "salt")
+    return linked.withColumn("links", _others(F.col("platform_heads"), FAMILY_LINKS)).drop("platform_heads", "salt")
 
 
 def link(artifacts: DataFrame) -> DataFrame:
-    """Both sorts of links."""
-    return family_links(hourly_links(artifacts))
+    """Both sorts of links: those of the hour first, then those across families that are not among them."""
+    rows = with_salt(artifacts.withColumn("hour", F.date_trunc("hour", "ts")))
+    # Both sorts of heads come from the plain rows, not from rows that were already joined.
+    by_hour = join_back(rows, hourly_heads(rows), ["case_id", "suspected_platform", "hour"])
+    both = join_back(by_hour, platform_heads(rows), ["case_id", "suspected_platform"])
+    return both.withColumn("links", F.array_union(
+        _others(F.col("heads"), HOUR_LINKS), _others(F.col("platform_heads"), FAMILY_LINKS))).drop(
+        "heads", "platform_heads", "hour", "salt")
 
 
 def link_families(links: Column) -> Column:

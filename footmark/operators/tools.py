@@ -68,25 +68,25 @@ def glob_regex(glob: Column) -> Column:
 def match_tool_paths(candidates: DataFrame, inventory: DataFrame) -> DataFrame:
     """Candidates that exist in the file inventory (case_id, path): (case_id, tool_id, ord, path).
 
-    Plain candidates are an equi join.  Those with wildcards are joined on the
-    case and on the part before the first wildcard, cut to whole folders, and
-    only then compared with the pattern; the smallest path counts.
+    Plain candidates are an equi join.  One with wildcards is joined on the text
+    before its first wildcard: a file offers its beginnings in the lengths that
+    wildcard candidates of its case really have, so only files that share the
+    beginning are compared with the pattern.  The smallest path counts.
     """
     wild = F.col("candidate").rlike(r"[*?]")
     files = inventory.select("case_id", F.regexp_replace("path", "^/+", "").alias("path"))
     plain = candidates.where(~wild).join(
         files.withColumnRenamed("path", "candidate"), ["case_id", "candidate"], "left_semi").select(
         "case_id", "tool_id", "ord", F.col("candidate").alias("path"))
-    depth = F.size(F.split("candidate", "/"))
     globs = candidates.where(wild).select(
-        "case_id", "tool_id", "ord", "candidate", glob_regex(F.col("candidate")).alias("pattern"), depth.alias("depth"),
-        F.regexp_extract("candidate", r"^([^*?]*/)?", 0).alias("folder"))
-    # Every leading folder of a file, each file only at the depth of its own path.
-    parts = F.split("path", "/")
-    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(
-        i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    by_folder = files.select("case_id", "path", F.size(parts).alias("depth"), F.explode(folders).alias("folder"))
-    wide = globs.join(by_folder, ["case_id", "folder", "depth"]).where(F.rlike("path", F.col("pattern"))).groupBy(
+        "case_id", "tool_id", "ord", "candidate", glob_regex(F.col("candidate")).alias("pattern"),
+        F.size(F.split("candidate", "/")).alias("depth"), F.regexp_extract("candidate", r"^[^*?]*", 0).alias("head"))
+    # A few lengths per case, on one row.
+    lengths = globs.groupBy("case_id", "depth").agg(F.collect_set(F.length("head")).alias("lengths"))
+    heads = files.withColumn("depth", F.size(F.split("path", "/"))).join(lengths, ["case_id", "depth"]).select(
+        "case_id", "path", "depth", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n")).select(
+        "case_id", "path", "depth", F.substring("path", F.lit(1), F.col("n")).alias("head"))
+    wide = globs.join(heads, ["case_id", "depth", "head"]).where(F.rlike("path", F.col("pattern"))).groupBy(
         "case_id", "tool_id", "ord", "candidate").agg(F.min("path").alias("path"))
     return plain.unionByName(wide.drop("candidate"))
 

@@ -11,15 +11,15 @@ def history_visits(items: DataFrame, visits: DataFrame) -> DataFrame:
     return items.join(visits, "item_id")
 
 
-def annotated_downloads(annotations: DataFrame, places: DataFrame, attributes: DataFrame, name: str) -> DataFrame:
+def annotated_downloads(annotations: DataFrame, places: DataFrame, attributes: DataFrame, name: str, *keep: str) -> DataFrame:
     """Annotations of one attribute with their place.
 
     ``annotations``: place_id, attribute_id, content.  ``places``: place_id,
-    url.  ``attributes``: attribute_id, name.
+    url.  ``attributes``: attribute_id, name.  ``keep`` names further columns.
     """
     wanted = attributes.where(F.col("name") == name).select("attribute_id")
     return annotations.join(wanted, "attribute_id", "left_semi").join(places, "place_id").select(
-        "place_id", "url", F.col("content").alias("target_path"))
+        "place_id", "url", F.col("content").alias("target_path"), *keep)
 
 
 def app_usage(objects: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -581,7 +581,7 @@ def _build() -> None:
         """SELECT doc_id, CAST(pos AS BIGINT) AS pos, url, coalesce((SELECT arg_min(platform, ord) FROM sp WHERE contains(lower(url), word)), 'Unknown')
         AS platform FROM x"""
     from footmark.operators.hits import hit_patterns
-    pats = [(i, k, p if k == "Platform Token" else "(?i)" + p, f) for i, (k, p, f) in enumerate(hit_patterns(KEYWORDS))]
+    pats = [(i, k, p if k == "Platform Token" else "(?i)" + p, f) for i, (k, p, f, _) in enumerate(hit_patterns(KEYWORDS))]
     union = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS pattern_no, {q(k)} AS hit_type, {q(f)} AS platform, unnest(regexp_extract_all(text, {q(p)})) AS m FROM fil"
         for i, k, p, f in pats)

@@ -432,7 +432,7 @@ def hit_artifacts(spark, d):
 @query
 def keyword_offsets(spark, d):
     rows = B.table(spark, d, "documents").select("doc_id", "text")
-    found = hits.scan_hits(rows, "text", [("Generic String", "token", "Unknown")])
+    found = hits.scan_hits(rows, "text", [("Generic String", "token", "Unknown", "token")])
     return hits.first_hits(found.select("doc_id", "pattern_no", "offset", "matched"), ["doc_id", "pattern_no"]).select(
         "doc_id", big("pattern_no"), big("offset"))
 

@@ -7,10 +7,23 @@ import os
 from pyspark.sql import SparkSession
 
 
+# Above 8,000 bytes of bytecode the JVM does not compile a method.  Long rule chains reach that, so stages
+# that would get such a method are run operator by operator instead, which is several times faster.
+RUNTIME = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that results and speed depend on, for sessions made elsewhere."""
+    for key, value in RUNTIME.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings that hold on a laptop and on a cluster: UTC times, adaptive plans, skew handling."""
     return (
-        builder.config("spark.sql.session.timeZone", "UTC")
+        builder.config(map=RUNTIME)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
