@@ -172,11 +172,11 @@ def cap_hits(hits: DataFrame, source: str, most: int) -> DataFrame:
 
 
 def hit_artifacts(hits: DataFrame) -> DataFrame:
-    """Hits as artifacts, always Low. Input columns: case_id, hit_type, platform, offset, length, matched."""
+    """Hits as artifacts, always Low. Input: the columns of ``scan_hits`` with case_id and evidence_id."""
     at = F.concat(F.lit("0x"), F.lower(F.hex("offset")))
     kind = F.col("hit_type")
     return as_artifacts(
-        hits, "hit", ["offset", "hit_type", "matched"],
+        hits, "hit", ["evidence_id", "offset", "pattern_no"],
         artifact_family=F.when(kind == "Export Marker", V.CONTENT).otherwise(V.FILE_SYSTEM),
         artifact_type=F.concat(F.lit("Raw Hit ("), kind, F.lit(")")),
         artifact_subtype=F.concat(F.lit("raw_"), kind), artifact_path=F.concat(F.lit("raw_stream@"), at),

@@ -41,21 +41,18 @@ def expand_tool_paths(paths: DataFrame, profiles: DataFrame, case_os: DataFrame)
     templates are a small inventory, so it is the side that is sent around.
     Returns (case_id, tool_id, candidate, ord), each candidate once.
     """
-    case_profiles = case_os.join(profiles, "case_id", "left").withColumn(
-        "user", F.coalesce("user_profile", F.lit("*")))
-    rows = case_profiles.join(paths, "os")
-    template, user = F.col("template"), F.col("user")
+    template = F.col("template")
     filled = template
     for name, place in V.PATH_VARIABLES:
-        value = F.replace(F.lit(place), F.lit("{user}"), user)
-        filled = F.regexp_replace(filled, F.lit(f"(?i)%{name}%"), F.regexp_replace(value, r"([\\$])", r"\\$1"))
-    windows = F.when(template.startswith("~"), template).otherwise(F.replace(filled, F.lit("\\"), F.lit("/")))
-    posix = F.when(template.startswith("~"), F.concat(F.lit("Users/"), user, F.lit("/"),
-                                                      F.regexp_replace(template, "^[~/]+", ""))
-                   ).otherwise(F.regexp_replace(template, "^/+", ""))
-    candidate = F.when(F.col("os") == "Windows", windows).otherwise(posix)
-    return rows.withColumn("candidate", F.ltrim(candidate, F.lit("/"))).groupBy("case_id", "tool_id", "candidate").agg(
-        F.min(F.struct("ord", "user")).alias("place")).select("case_id", "tool_id", "candidate", "place.ord")
+        filled = F.regexp_replace(filled, f"(?i)%{name}%", place)
+    home = template.startswith("~")
+    windows = F.when(home, template).otherwise(F.replace(filled, F.lit("\\"), F.lit("/")))
+    posix = F.when(home, F.concat(F.lit("Users/{user}/"), F.regexp_replace(template, "^[~/]+", ""))).otherwise(template)
+    # Variables are filled in once per template; only the user differs from case to case.
+    ready = paths.withColumn("place", F.ltrim(F.when(F.col("os") == "Windows", windows).otherwise(posix), F.lit("/")))
+    users = case_os.join(profiles, "case_id", "left").withColumn("user", F.coalesce("user_profile", F.lit("*")))
+    rows = users.join(ready, "os").withColumn("candidate", F.replace("place", F.lit("{user}"), F.col("user")))
+    return rows.groupBy("case_id", "tool_id", "candidate").agg(F.min("ord").alias("ord"))
 
 
 def glob_regex(glob: Column) -> Column:

@@ -587,6 +587,21 @@ def _build() -> None:
         for i, k, p, f in pats)
     o["hit_counts"] = with_(FILES, f"h AS ({union})") + f"""SELECT doc_id, CAST(pattern_no AS BIGINT) AS pattern_no, hit_type, platform, count(*) AS n,
         min(CASE WHEN hit_type = 'Platform Token' THEN '{V.TOKEN_PLACEHOLDER}' ELSE m END) AS first_matched FROM h GROUP BY ALL"""
+    # Offset of the i-th match: the bytes of the pieces up to it and of the matches before it.
+    offsets = " UNION ALL ".join(f"""SELECT doc_id, case_id, {i} AS pattern_no, {q(k)} AS hit_type, {q(f)} AS platform, p, m, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT doc_id, case_id, string_split_regex(text, {q(p)}) AS p, regexp_extract_all(text, {q(p)}) AS m FROM fil) WHERE len(m) > 0"""
+        for i, k, p, f in pats)
+    ho = [FILES, f"h AS ({offsets})", f"""ho AS (SELECT doc_id, case_id, pattern_no, hit_type, platform,
+        CAST(list_sum(list_transform(p[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: strlen(x))), 0) AS BIGINT) AS "offset",
+        CAST(strlen(m[i]) AS BIGINT) AS length, CASE WHEN hit_type = 'Platform Token' THEN '{V.TOKEN_PLACEHOLDER}' ELSE m[i] END AS matched FROM h)"""]
+    o["hit_offsets"] = with_(*ho) + """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY "offset", pattern_no) - 1 AS hit_no,
+        CAST(pattern_no AS BIGINT) AS pattern_no, hit_type, platform, "offset", length, matched FROM ho"""
+    o["hit_artifacts"] = with_(*ho, """hx AS (SELECT *, format('0x{:x}', "offset") AS hx FROM ho)""") + """SELECT case_id,
+        sha256(concat_ws('|', case_id, 'hit', doc_id, "offset", pattern_no)) AS record_id,
+        CASE hit_type WHEN 'Export Marker' THEN 'User Content' ELSE 'File System' END AS artifact_family, 'raw_stream@' || hx AS artifact_path,
+        matched AS extracted_indicator, platform AS suspected_platform, CASE hit_type WHEN 'Model Name Hit' THEN 'Model' WHEN 'Export Marker' THEN 'Content'
+        ELSE 'Platform' END AS attribution_layer,
+        '[RAW] offset=' || hx || ', len=' || length || ', type=' || hit_type || ', pattern=' || matched AS notes FROM hx"""
     o["keyword_offsets"] = """SELECT doc_id, CAST(0 AS BIGINT) AS pattern_no,
       CAST(strlen(left(text, position('token' IN lower(text)) - 1)) AS BIGINT) AS "offset" FROM documents WHERE contains(lower(text), 'token')"""
     tokens = "|".join(f"(?:{p})" for p, _ in V.HIT_TOKENS)
@@ -829,4 +844,33 @@ def _build() -> None:
         CASE status WHEN 'FOUND' THEN pc ELSE 0 END AS evidence_count, array_to_string(flags[1:3], '; ') AS caveats FROM flg WHERE status <> 'NOT_VERIFIED'"""
 
 
+    timed_by_k = "count(*) FILTER (WHERE k % 10 <> 0)"
+    every: list[str] = []
+
+    def counted(name: str, key: str, family: str, kind: str, parser: str, timed: str, platform: str = "x.platform", where: str = "true") -> None:
+        side = "(SELECT event_id, case_id, k FROM ev)" if key != "doc_id" else "(SELECT doc_id, 'C' || (doc_id % 4) AS case_id, 0 AS k FROM documents)"
+        on = "e.event_id = x.line_no" if key == "line_no" else f"e.{key} = x.{key}"
+        every.append(f"""SELECT case_id, {q(family)} AS artifact_family, {kind} AS artifact_type, {platform} AS suspected_platform,
+            {q(parser)} AS parser_used, count(*) AS n, {timed} AS timed FROM ({ORACLE[name]}) x JOIN {side} e ON {on} WHERE {where} GROUP BY ALL""")
+
+    counted("visits_by_platform", "event_id", V.HISTORY, "'URL Visit'", "VisitExtractor", timed_by_k)
+    counted("downloads_by_platform", "event_id", V.DOWNLOADS, "'Download'", "DownloadExtractor", timed_by_k)
+    counted("cookies_by_platform", "event_id", V.COOKIES, "'Cookie'", "CookieExtractor", timed_by_k)
+    counted("toolchain_traces", "event_id", V.HISTORY, """CASE trace WHEN 'plugin_url' THEN 'ChatGPT Plugin/Custom GPT'
+        WHEN 'toolchain_url' THEN 'AI Tool-Chain Trace' ELSE 'RAG Infrastructure Trace' END""", "ToolChainExtractor", "0",
+        "CASE trace WHEN 'plugin_url' THEN 'ChatGPT' ELSE 'Unknown' END")
+    counted("file_names_by_platform", "doc_id", V.CONTENT, "'AI Export/Download File'", "ContentExtractor", "count(*)")
+    counted("screenshots_by_platform", "doc_id", V.SCREENSHOT, "'Screenshot'", "ContentExtractor", "count(*)")
+    # Contents are read for files that are text by their extension.
+    tails = [t[1:].lower() for t in S.FILE_TAILS]
+    counted("content_remnants", "doc_id", V.CONTENT, "'Content Indicator'", "ContentExtractor", "count(*)",
+            where=f"{pk(tails, 'x.doc_id // 5')} IN {inlist(V.TEXT_EXT)}")
+    counted("storage_keys", "doc_id", V.LOCAL_STORAGE, "'Local Storage Key'", "StorageKeyExtractor", "0")
+    counted("shared_links", "doc_id", V.HISTORY, "'Shared AI Link'", "SharedLinkExtractor", "0")
+    counted("execution_traces", "event_id", V.EXECUTION, "'Prefetch'", "ExecutionExtractor", "count(*)")
+    counted("cleanup_tools", "event_id", V.EXECUTION, "'Cleanup Tool Execution'", "TamperDetector", "count(*)", "'Unknown'")
+    counted("unified_log_hits", "line_no", V.UNIFIED_LOG, "'macOS Unified Log'", "LogLineExtractor", "count(*)")
+    o["case_artifacts"] = with_(EV) + "SELECT * REPLACE (CAST(timed AS BIGINT) AS timed) FROM (" + "\nUNION ALL ".join(every) + ")"
+
+
 _build()

@@ -417,16 +417,23 @@ def hit_counts(spark, d):
         F.count("*").alias("n"), F.min("matched").alias("first_matched")).withColumn("pattern_no", big("pattern_no"))
 
 
+def all_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = B.files(spark, d).select(F.col("doc_id").alias("evidence_id"), "case_id", "text")
+    return hits.scan_hits(rows, "text", hits.hit_patterns(KEYWORDS))
+
+
 @query
 def hit_offsets(spark, d):
-    """Every hit with its byte offset; checked by hand-made texts in the tests."""
-    rows = B.files(spark, d).select("doc_id", "case_id", "text")
-    return hits.scan_hits(rows, "text", hits.hit_patterns(KEYWORDS))
+    return all_hits(spark, d).select(
+        F.col("evidence_id").alias("doc_id"), big("hit_no"), big("pattern_no"), "hit_type", "platform", "offset",
+        big("length"), "matched")
 
 
 @query
 def hit_artifacts(spark, d):
-    return hits.hit_artifacts(hit_offsets(spark, d))
+    return hits.hit_artifacts(all_hits(spark, d)).select(
+        "case_id", "record_id", "artifact_family", "artifact_path", "extracted_indicator", "suspected_platform",
+        "attribution_layer", "notes")
 
 
 @query
