@@ -14,11 +14,11 @@ from footmark.sources.sinks import stage
 def with_seq(artifacts: DataFrame) -> DataFrame:
     """Fills ``seq`` by hour and record id where extractors gave none.
 
-    Numbers are counted inside small buckets (hour, first two letters of the
+    Numbers are counted inside small buckets (hour, first three letters of the
     id) and shifted by a running sum over bucket counts, so no task sees a case
     as a whole.
     """
-    rows = artifacts.withColumn("hour", F.date_trunc("hour", "ts")).withColumn("part", F.substring("record_id", 1, 2))
+    rows = artifacts.withColumn("hour", F.date_trunc("hour", "ts")).withColumn("part", F.substring("record_id", 1, 3))
     keys = ["case_id", "hour", "part"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     order = Window.partitionBy("case_id").orderBy(F.col("hour").asc_nulls_last(), "part")
