@@ -32,6 +32,15 @@ def evidence_letter(notes: Column) -> Column:
     return F.nullif(token, F.lit(""))
 
 
+def place(at: Column, seq: Column) -> Column:
+    """Time, then ``seq``, as one number that sorts like the pair; untimed rows come last.
+
+    A number of fixed width keeps the aggregate that takes its minimum a hash aggregate.
+    """
+    time = F.coalesce(at, F.lit(NO_TIME)).cast("decimal(19,0)")
+    return time * F.lit(str(10**19)).cast("decimal(20,0)") + seq.cast("decimal(19,0)")
+
+
 def hourly_cube(artifacts: DataFrame) -> DataFrame:
     """Counts, times and flags per hour and combination of the closed-list columns."""
     indicator = F.lower(F.coalesce("extracted_indicator", F.lit("")))
@@ -56,7 +65,7 @@ def hourly_cube(artifacts: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(
         F.count("*").alias("n"), F.count("at").alias("n_timed"),
         F.min("at").alias("min_at"), F.max("at").alias("max_at"), F.min("seq").alias("min_seq"),
-        F.min(F.struct(F.coalesce("at", F.lit(NO_TIME)).alias("at"), "seq")).alias("first"),
+        F.min(place(F.col("at"), F.col("seq"))).alias("first"),
         F.max(rank_of(F.col("confidence"))).alias("max_rank"),
         *[F.count_if(w).alias("n_" + w) for w in
           ("image_word", "review_word", "search_word", "upload_word", "prompt_word", "response_word")],

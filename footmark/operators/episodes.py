@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footmark.functions import fixed_values as V
+from footmark.functions.matching import distinct
 from footmark.operators.cube import (
     DIMENSIONS, NO_TIME, evidence_letter, hourly_cube, most_frequent, session_numbers)
 from footmark.operators.spread import join_back, with_salt
@@ -47,9 +48,9 @@ def episode_facts(cube: DataFrame) -> DataFrame:
         *[F.max(c).alias(c) for c in ("voice", "link", "asset")])
     facts = parts.groupBy(*EPISODE).agg(
         F.sum("n").alias("artifacts"), _total(direct).alias("direct"), F.sum("n_timed").alias("timed"),
-        F.count_distinct("artifact_family").alias("families"),
-        F.count_distinct(F.when(F.col("source_class") != V.UNKNOWN, F.col("source_class"))).alias("known_classes"),
-        F.count_distinct("source_class").alias("all_classes"),
+        distinct("artifact_family").alias("families"),
+        distinct(F.when(F.col("source_class") != V.UNKNOWN, F.col("source_class"))).alias("known_classes"),
+        distinct("source_class").alias("all_classes"),
         F.min("min_at").alias("start_us"), F.max("max_at").alias("end_us"),
         F.collect_list(F.struct(F.col("suspected_model").alias("model"), F.col("access_mode").alias("mode"),
                                 "n", "first")).alias("mix"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footmark.functions import fixed_values as V
-from footmark.functions.matching import contains_any
+from footmark.functions.matching import contains_any, distinct
 from footmark.operators.cube import most_frequent, session_numbers
 from footmark.operators.scoring import level_of, rank_of
 
@@ -258,12 +258,12 @@ def requirement_status(cube: DataFrame, episode_rows: DataFrame) -> DataFrame:
         return F.coalesce(F.max(test), F.lit(False))
 
     counters = cube.groupBy("case_id").agg(
-        F.count_distinct(F.when(group.isin("BROWSER", "OS", "CONTENT", "NATIVE"), group)).alias("groups"),
+        distinct(F.when(group.isin("BROWSER", "OS", "CONTENT", "NATIVE"), group)).alias("groups"),
         seen(parser == "MemoryExtractor").alias("memory"), seen(parser == "NetworkExtractor").alias("network"),
         F.sum("n").alias("artifacts"), F.sum("n_timed").alias("timed"), seen(parser == "ExportReplay").alias("exported"),
         seen(F.col("suspected_platform") != V.UNKNOWN).alias("footprint"),
         seen(F.col("suspected_model") != V.UNKNOWN).alias("model"), seen(parser == "ManifestExtractor").alias("manifest"),
-        seen(parser == "TamperDetector").alias("tamper"), F.count_distinct("artifact_family").alias("families"),
+        seen(parser == "TamperDetector").alias("tamper"), distinct("artifact_family").alias("families"),
         seen(parser.isin("ExtensionExtractor", "ToolChainExtractor")
              | kind.isin("ChatGPT Plugin Usage", "ChatGPT Plugin/Custom GPT")).alias("chained"))
     per_case = episode_rows.groupBy("case_id").agg(F.count("*").alias("episodes"))

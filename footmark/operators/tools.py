@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footmark.functions import fixed_values as V
+from footmark.functions.matching import distinct
 from footmark.operators.content import evidence_class
 
 FOUND, NOT_FOUND, NOT_VERIFIED = "FOUND", "NOT_FOUND", "NOT_VERIFIED"
@@ -166,7 +167,7 @@ def checklist(tools: DataFrame, case_os: DataFrame, profiles: DataFrame, invento
     matched = match_tool_paths(expand_tool_paths(tool_paths(tools), profiles, case_os), inventory)
     hits = matched.groupBy("case_id", "tool_id", "path").agg(F.min("ord").alias("ord")).groupBy("case_id", "tool_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]).alias("paths"),
-        F.count_distinct(evidence_class(F.col("path"))).alias("class_count"))
+        distinct(evidence_class(F.col("path"))).alias("class_count"))
     # Every case gets every tool: the inventory is keyed by all systems a case can have.
     systems = F.array(*[F.lit(x) for x in ("Windows", "macOS", "Linux", "iPhone", "Android", V.UNKNOWN)])
     every = case_os.join(described.withColumn("os", F.explode(systems)), "os")

@@ -249,7 +249,7 @@ def classify_deleted(df: DataFrame, rules: RuleBook, name_col: str = "name") ->
 def detect_os(paths: DataFrame) -> DataFrame:
     """Operating system per case from the names at the top of the evidence tree (case_id, name)."""
     def score(names: list[str]) -> Column:
-        return F.count_distinct(F.when(F.col("name").isin(names), F.col("name")))
+        return M.distinct(F.when(F.col("name").isin(names), F.col("name")))
 
     scores = paths.groupBy("case_id").agg(
         score(V.WINDOWS_NAMES).alias("win"), score(V.MAC_NAMES).alias("mac"), score(V.PHONE_NAMES).alias("phone"))
