@@ -41,13 +41,17 @@ FOOTPRINT_CAVEATS = {
 
 def footprints(cube: DataFrame, coverage: DataFrame) -> DataFrame:
     """What is known about each platform of a case, on one row."""
-    rows = session_numbers(cube.where(F.col("suspected_platform") != V.UNKNOWN), PLATFORM)
-    kind, family = F.col("classification"), F.col("artifact_family")
+    sorts = ["classification", "artifact_family", "suspected_model", "access_mode"]
     sums = ["n", "n_timed", "n_upload_word", "n_prompt_word", "n_response_word"]
+    ends = [F.min("min_at").alias("min_at"), F.max("max_at").alias("max_at"), F.min("min_seq").alias("min_seq"),
+            F.max("max_rank").alias("max_rank")]
+    # Without the profiles a platform has a bounded number of rows per hour, so the session window stays small.
+    hourly = cube.where(F.col("suspected_platform") != V.UNKNOWN).groupBy(*PLATFORM, "hour", *sorts).agg(
+        *[F.sum(c).alias(c) for c in sums], *ends)
     # Down to one row per combination of closed-list values, so that the array for the modes stays short.
-    parts = rows.groupBy(*PLATFORM, "classification", "artifact_family", "suspected_model", "access_mode").agg(
-        *[F.sum(c).alias(c) for c in sums], F.min("min_at").alias("min_at"), F.max("max_at").alias("max_at"),
-        F.min("min_seq").alias("min_seq"), F.max("max_rank").alias("max_rank"), F.max("session_no").alias("session_no"))
+    parts = session_numbers(hourly, PLATFORM).groupBy(*PLATFORM, *sorts).agg(
+        *[F.sum(c).alias(c) for c in sums], *ends, F.max("session_no").alias("session_no"))
+    kind, family = F.col("classification"), F.col("artifact_family")
     wide = parts.groupBy(*PLATFORM).agg(
         F.sum("n").alias("total"), _total(kind == "Direct").alias("direct"),
         _total(kind == "Inferred").alias("inferred"), F.min("min_at").alias("earliest_us"),
