@@ -292,3 +292,18 @@ def classify_transcripts(df: DataFrame) -> DataFrame:
         .withColumn("classification", F.when(with_text, "Direct").otherwise("Inferred"))
         .withColumn("confidence", F.when(with_text, "Moderate").otherwise("Low"))
     )
+
+
+def transcript_artifacts(df: DataFrame) -> DataFrame:
+    """Input columns: case_id, path, name, mtime, text."""
+    said = F.col("transcript")
+    found = classify_transcripts(df).withColumn("voice_id", F.sha2(F.concat_ws("|", "case_id", "path"), 256))
+    kind = F.when(F.length(said) == 0, "Audio Metadata").when(M.extension(F.col("name")) == "json", "Voice Session Log")
+    return as_artifacts(
+        found, "transcript", ["path"], artifact_family=V.CONTENT, artifact_type="Voice/Audio Evidence",
+        artifact_subtype=kind.otherwise("Transcript Text"), artifact_path=F.col("path"), parser_used="TranscriptExtractor",
+        ts=F.col("mtime"), suspected_platform=F.col("platform"), classification=F.col("classification"),
+        initial_confidence=F.col("confidence"), source_class="Voice-Derived", acquisition_source="Transcript Capture",
+        platform_surface="Voice Session", related_voice_id=F.col("voice_id"),
+        extracted_indicator=F.when(F.length(said) > 0, F.substring(said, 1, 200)).otherwise(
+            F.concat(F.lit("Audio file: "), "name")))

@@ -287,3 +287,66 @@ def browsers_detected(paths: DataFrame) -> DataFrame:
         F.when(F.contains(path, F.lit("/" + folder)), F.lit(b)) for b, folder in V.BROWSER_DIRS])))
     return paths.select("case_id", browser.alias("browser")).distinct().groupBy("case_id").agg(
         F.array_sort(F.collect_set("browser")).alias("browsers"))
+
+
+# --- fixed values: subtype of a registry label where it differs from the label ----
+LABEL_SUBTYPES = {"TypedURLs": "TypedURL", "TypedPaths": "TypedPath"}
+
+
+def registry_artifacts(df: DataFrame, rules: RuleBook) -> DataFrame:
+    """Input columns: case_id, path, key_label, name, value, mtime."""
+    label = F.col("key_label")
+    subtype = F
+    for name, text in LABEL_SUBTYPES.items():
+        subtype = subtype.when(label == name, text)
+    return as_artifacts(
+        classify_key_values(df, rules), "registry", ["path", "key_label", "name", "value"], artifact_family=V.REGISTRY,
+        artifact_type=F.concat(F.lit("Registry — "), label), artifact_subtype=subtype.otherwise(label),
+        artifact_path=F.col("path"), parser_used="RegistryExtractor", ts=F.col("mtime"),
+        timestamp_type=F.when(F.col("mtime").isNotNull(), "Modified"), tz_norm=F.col("mtime").isNotNull(),
+        extracted_indicator=F.concat("name", F.lit(": "), F.substring("value", 1, 200)),
+        suspected_platform=F.col("platform"), access_mode=F.when(label == "TypedURLs", "Browser"),
+        classification=F.col("classification"), initial_confidence=F.col("confidence"))
+
+
+def quarantine_artifacts(df: DataFrame, rules: RuleBook) -> DataFrame:
+    """Input columns: case_id, path, origin_url, data_url, agent, at."""
+    parts = [F.coalesce(c, F.lit("")) for c in ("origin_url", "data_url", "agent")]
+    return as_artifacts(
+        classify_key_values(df, rules, "quarantine"), "quarantine", ["path", "origin_url", "data_url", "at"],
+        artifact_family=V.FILE_SYSTEM, artifact_type="Quarantine Event", artifact_subtype="Download Source",
+        artifact_path=F.col("path"), parser_used="QuarantineExtractor", ts=F.col("at"), timestamp_type="Created",
+        tz_norm=F.col("at").isNotNull(),
+        extracted_indicator=F.concat(F.lit("Origin: "), parts[0], F.lit(", Data: "), parts[1], F.lit(", Agent: "), parts[2]),
+        suspected_platform=F.col("platform"), access_mode="Browser", classification="Direct", initial_confidence="Moderate",
+        notes="Quarantine event records download source information.")
+
+
+def recent_artifacts(df: DataFrame, rules: RuleBook) -> DataFrame:
+    """Input columns: case_id, path, name, mtime."""
+    return as_artifacts(
+        classify_recent(df, rules), "recent", ["path", "platform"], artifact_family=V.RECENT,
+        artifact_type="Recent File / LNK", artifact_subtype="Windows Recent", artifact_path=F.col("path"),
+        parser_used="RecentFileExtractor", ts=F.col("mtime"), timestamp_type="Accessed", tz_norm=F.col("mtime").isNotNull(),
+        extracted_indicator=F.concat(F.lit("Recent file: "), "name"), suspected_platform=F.col("platform"),
+        initial_confidence="Low")
+
+
+def deleted_artifacts(df: DataFrame, rules: RuleBook) -> DataFrame:
+    """Input columns: case_id, path, name (the original one)."""
+    return as_artifacts(
+        classify_deleted(df, rules), "deleted", ["path", "platform"], artifact_family=V.FILE_SYSTEM,
+        artifact_type="Recycle Bin Entry", artifact_subtype="Deleted File", artifact_path=F.col("path"),
+        parser_used="DeletedFileExtractor", extracted_indicator=F.concat(F.lit("Deleted: "), "name"),
+        suspected_platform=F.col("platform"), initial_confidence="Low",
+        notes="Deleted file with AI-suggestive filename. Filename alone is a weak indicator.")
+
+
+def package_artifacts(df: DataFrame, rules: RuleBook) -> DataFrame:
+    """Installed mobile packages. Input columns: case_id, path, package, at."""
+    return as_artifacts(
+        match_package(df, rules), "package", ["path", "package"], artifact_family=V.NATIVE,
+        artifact_type="App Installation", artifact_subtype="packages.xml Entry", artifact_path=F.col("path"),
+        parser_used="PackageExtractor", ts=F.col("at"), timestamp_type="Created", tz_norm=F.col("at").isNotNull(),
+        extracted_indicator=F.concat(F.lit("Package: "), "package"), suspected_platform=F.col("platform"),
+        access_mode="Native App", classification="Direct", initial_confidence="High")

@@ -87,3 +87,14 @@ register("EventLogExtractor", ("event_log",), systems=("Windows",))(
     lambda i, r: traces.log_artifacts(i["event_log"], r, "event_log"))
 register("ExportReplay", ("exports",))(lambda i, r: exports.replay_exports(i["exports"], r))
 register("ProviderExportExtractor", ("files",))(lambda i, r: exports.export_file_artifacts(i["files"]))
+register("RegistryExtractor", ("registry_values",), systems=("Windows",))(
+    lambda i, r: traces.registry_artifacts(i["registry_values"], r))
+register("QuarantineExtractor", ("quarantine_events",), systems=("macOS",))(
+    lambda i, r: traces.quarantine_artifacts(i["quarantine_events"], r))
+register("RecentFileExtractor", ("recent_files",), systems=("Windows",))(
+    lambda i, r: traces.recent_artifacts(i["recent_files"], r))
+register("DeletedFileExtractor", ("deleted_files",), systems=("Windows",))(
+    lambda i, r: traces.deleted_artifacts(i["deleted_files"], r))
+register("PackageExtractor", ("packages",), systems=("Android",))(
+    lambda i, r: traces.package_artifacts(i["packages"], r))
+register("TranscriptExtractor", ("transcripts",))(lambda i, r: content.transcript_artifacts(i["transcripts"]))
