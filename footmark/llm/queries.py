@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footmark.llm import chat, decontamination, html, language, neighbours, packing, urlfilter
+from footmark.llm import chat, decontamination, html, language, neighbours, packing, substring, suffix, urlfilter
 from footmark.llm.common import table
 
 #: (host, path, verdict)
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated_phrases(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_html_extraction, op3_chat_formatting, op4_nearest_neighbours, op5_url_filter, op6_language_id,
-    op7_best_fit_packing, op8_decontamination)}
+    op1_substring_dedup, op2_html_extraction, op3_chat_formatting, op4_nearest_neighbours, op5_url_filter, op6_language_id,
+    op7_best_fit_packing, op8_decontamination, op9_suffix_dedup)}
