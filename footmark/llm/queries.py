@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footmark.llm import chat, decontamination, html, language, neighbours, packing, substring, suffix, urlfilter
+from footmark.llm import chat, decontamination, html, jaccard, language, neighbours, packing, substring, suffix, urlfilter
 from footmark.llm.common import table
 
 #: (host, path, verdict)
@@ -60,6 +60,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_html_extraction, op3_chat_formatting, op4_nearest_neighbours, op5_url_filter, op6_language_id,
-    op7_best_fit_packing, op8_decontamination, op9_suffix_dedup)}
+    op7_best_fit_packing, op8_decontamination, op9_suffix_dedup, op10_jaccard_join)}
