@@ -12,10 +12,12 @@ kept as it is; repeated rows are separate documents; other columns are ignored;
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,23 +33,71 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_WITH_IDS = PIECES + ", ids binary"
 
 
-class WordIds(dict):
-    """The ids of a word as little-endian bytes.  The tokenizer never joins words across white space, so a text's
-    ids are the ids of its words; frequent words are encoded once per task."""
+#: Ends of words that the tokenizer splits off as one piece of their own.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class WordIds:
+    """The ids of words as little-endian bytes.
+
+    The tokenizer never joins words across white space, so a text's ids are the ids of its words.  A word of Latin
+    letters with punctuation behind it is two pieces; the letters of many such words are encoded as one text and cut
+    where a token ends a word.  Other words are encoded one by one.  At most ``most`` words are kept.
+    """
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[word] = np.array(found.ids, "<u4").tobytes()
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+            new = words
+        parts = {}
+        for word in new:
+            core = word.rstrip(TAIL)
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:  # its lower case has a mark
+                parts[word] = core.lower(), word[len(core):]
+            else:
+                self.words[word] = self.encode(word).tobytes()
+        self.learn_letters({core for core, _ in parts.values()})
+        for word, (core, tail) in parts.items():
+            if tail not in self.tails:
+                self.tails[tail] = self.encode(tail).tobytes()
+            self.words[word] = self.letters[core] + self.tails[tail]
+
+    def learn_letters(self, cores: set[str]) -> None:
+        new = list(cores.difference(self.letters))
+        if len(self.letters) + len(new) > self.most:
+            self.letters.clear()
+            new = list(cores)
+        for at in range(0, len(new), 1000):
+            part = new[at:at + 1000]
+            ids = self.encode(" ".join(part))
+            edge = np.flatnonzero(self.ends[ids]) + 1
+            if len(edge) == len(part):
+                raw = ids.tobytes()
+                for word, a, b in zip(part, np.r_[0, 4 * edge[:-1]].tolist(), (4 * edge).tolist()):
+                    self.letters[word] = raw[a:b]
+            else:
+                self.letters.update((word, self.encode(word).tobytes()) for word in part)
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each process: tasks of a worker share what it has learned."""
+    return WordIds(path)
 
 
 def split_words(text: str) -> list[str]:
@@ -62,13 +112,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches):
-        ids = WordIds(tokenizer)
-        for batch in slices(batches):
+        ids = word_ids(tokenizer)
+        for batch in slices(batches, most=2 << 20):
             words = [split_words(t) if t else [] for t in batch.column("text").to_pylist()]
             ids.learn(set().union(*words))
             out = defaultdict(list)
             for doc, own in zip(batch.column("doc_id").to_pylist(), words):
-                whole = b"".join(map(ids.__getitem__, own)) + end
+                whole = b"".join(map(ids.words.__getitem__, own)) + end
                 for k, at in enumerate(range(0, len(whole), 4 * limit)):
                     piece = whole[at:at + 4 * limit]
                     for name, value in (("doc_id", doc), ("piece", k), ("start", at // 4), ("length", len(piece) // 4),
