@@ -1,10 +1,19 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents, in stages that each keep their decisions.
+
+Language ID drops documents whose language is not found; the Jaccard join keeps one document of each group of near
+copies; substring removal takes repeated phrases out of the texts; decontamination drops documents that hold a passage
+of the benchmark; packing turns the rest into sequences of tokens.  Each stage reads all that the one before wrote.
+
+Nulls and edge cases are those of the operators.  A null text stays null until it is packed, unless the first stage
+drops it: a text without letters has no language.  Rows of one ``doc_id`` are one document to the join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from footmark.llm import common, decontamination, language, packing
+from footmark.llm import common, decontamination, jaccard, language, packing, substring
 from footmark.llm.queries import tokenizer_path
 
 
@@ -13,6 +22,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.accepted_documents(docs)
 
 
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_per_class(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the phrases of documents with smaller ids; n_chars follows.  A text that loses nothing stays as it is."""
+    return substring.without_repeated_phrases(docs).withColumn(
+        "n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontamination.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
@@ -23,9 +43,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.packed_documents(docs, tokenizer_path())
 
 
-STAGES = [("language", language_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
+STAGES = [("language_id", language_stage), ("jaccard_join", near_copies_stage), ("substring_dedup", substring_stage),
+          ("decontamination", decontamination_stage), ("packing", packing_stage)]
 
-#: The model of the first stage and the tokenizer of the last cannot be written in SQL.
+#: The language model and the tokenizer cannot be written in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -63,29 +63,36 @@ def mail(block: list[int], place: list[int], own: list[bool], payload: list[byte
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((block, place, own, payload), MAIL_ARROW)], schema=MAIL_ARROW)
 
 
-def block_of(table: pa.Table) -> Block:
-    """The documents in an order that does not depend on how they arrived."""
-    rows = sorted((NO_ID if d is None else d, t or "") for d, t in
-                  zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()))
-    return Block([d for d, _ in rows], [t.encode() for _, t in rows])
+def block_of(table: pa.Table) -> tuple[Block, list[int]]:
+    """The documents in an order that does not depend on how they arrived, and their rows."""
+    rows = sorted((NO_ID if d is None else d, t or "", i) for i, (d, t) in
+                  enumerate(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())))
+    return Block([d for d, _, _ in rows], [t.encode() for _, t, _ in rows]), [i for _, _, i in rows]
 
 
 def letters(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("place").to_pylist(), table.column("payload").to_pylist()))
 
 
-def per_document(docs: DataFrame, operator: Operator) -> DataFrame:
-    """One row for each document: doc_id and what the operator finds."""
+def per_document(docs: DataFrame, operator: Operator, keep: list[str] = ()) -> DataFrame:
+    """One row for each document: doc_id, what the operator finds, and the columns to keep as keep_0, keep_1, ..."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // BLOCK_BYTES))
     buckets = max(8, blocks // 2)
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", key)
-    result = to_arrow_schema(StructType.fromDDL("doc_id long, " + operator.schema))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep) if c != "text"], key.alias("block"))
+    kinds = StructType.fromDDL("doc_id long, " + operator.schema)
+    found = set(StructType.fromDDL(operator.schema).names)
+    source = {f"keep_{i}": "text" if c == "text" else f"keep_{i}" for i, c in enumerate(keep)} | {"doc_id": "doc_id"}
+    for name, column in source.items():
+        if name != "doc_id":
+            kinds = kinds.add(name, texts.schema[column].dataType)
+    result = to_arrow_schema(kinds)
 
     def ask(table: pa.Table) -> pa.Table:
         own = table.column("block")[0].as_py()
-        out = operator.ask(block_of(table), buckets)
+        out = operator.ask(block_of(table)[0], buckets)
         return mail([own] * len(out), list(out), [False] * len(out), list(out.values()))
 
     def answer(table: pa.Table) -> pa.Table:
@@ -96,7 +103,7 @@ def per_document(docs: DataFrame, operator: Operator) -> DataFrame:
         if not len(left):
             return mail([], [], [], [])
         block = left.column("block")[0].as_py()
-        out, own = operator.send(block_of(left), letters(right), buckets)
+        out, own = operator.send(block_of(left)[0], letters(right), buckets)
         return mail([block] * (len(out) + 1), [*out, block % buckets], [False] * len(out) + [True], [*out.values(), own])
 
     def match(table: pa.Table) -> pa.Table:
@@ -108,17 +115,18 @@ def per_document(docs: DataFrame, operator: Operator) -> DataFrame:
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return result.empty_table()
-        block, own = block_of(left), right.column("own")
+        (block, order), own = block_of(left), right.column("own")
         kept = right.filter(own).column("payload")[0].as_py()
         out = operator.finish(block, kept, letters(right.filter(pc.invert(own))))
-        ids = [None if d == NO_ID else d for d in block.ids]
-        return pa.Table.from_arrays([pa.array(ids if f.name == "doc_id" else out[f.name], f.type) for f in result], schema=result)
+        rows = left.take(pa.array(order, pa.int64()))
+        return pa.Table.from_arrays([pa.array(out[f.name], f.type) if f.name in found else rows.column(source[f.name]).cast(f.type)
+                                     for f in result], schema=result)
 
     by_block = texts.groupBy("block")
     answers = by_block.applyInArrow(ask, MAIL).groupBy("place").applyInArrow(answer, MAIL)
     sent = by_block.cogroup(answers.groupBy("block")).applyInArrow(send, MAIL)
     replies = sent.groupBy("place").applyInArrow(match, MAIL)
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, " + operator.schema)
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(finish, kinds)
 
 
 def pack(*arrays) -> bytes:

@@ -26,6 +26,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from footmark.llm.blocks import NO_ID, Block, pack, per_document, unpack
 from footmark.llm.suffix import sliding_minimum
@@ -228,3 +229,12 @@ def remove_repeated_phrases(docs: DataFrame, n: int = 13, gram: int = 5, keep_te
     """doc_id, n_words, n_removed, kept_sha256 and, on request, the kept words joined by one space."""
     found = per_document(docs, RepeatedPhrases(n, gram, keep_text))
     return found if keep_text else found.drop("kept")
+
+
+def without_repeated_phrases(docs: DataFrame, n: int = 13, gram: int = 5) -> DataFrame:
+    """The documents with all their columns; texts that lose words are the kept words joined by one space, others stay."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = per_document(docs, RepeatedPhrases(n, gram, True), ["text", *others])
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("keep_0"))
+    return found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), text.alias("text"),
+                        *[F.col(f"keep_{i + 1}").alias(c) for i, c in enumerate(others)]).select(*docs.columns)
