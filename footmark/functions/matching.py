@@ -157,3 +157,8 @@ def extension(name: Column) -> Column:
 def parent_name(path: Column) -> Column:
     parts = F.split(path, r"[/\\]")
     return F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit(""))
+
+
+def lenient_text(content: Column) -> Column:
+    """Bytes as UTF-8 text; what is no UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))

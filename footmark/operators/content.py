@@ -89,10 +89,9 @@ def file_artifacts(files: DataFrame, rules: RuleBook) -> list[DataFrame]:
     content = as_artifacts(
         scan_content(texts, rules), "content", ["path", "remnant", "platform"],
         artifact_family=V.CONTENT, artifact_type="Content Indicator", artifact_subtype=word,
-        extracted_indicator=F.substring(F.when(
+        extracted_indicator=F.when(
             word == "Model Reference", F.concat(F.lit("Model string: "), "indicator", F.lit(" in "), "name")
         ).otherwise(F.concat(F.split(word, " ")[0], F.lit(" indicator: '"), "indicator", F.lit("' in "), "name")),
-            1, 200),
         suspected_model=F.col("model"), attribution_layer=F.col("layer"),
         notes=F.when(word == "Model Reference",
                      "Model identifier found in file content. Stronger than platform-only.")
@@ -117,7 +116,7 @@ def shared_link_artifacts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return as_artifacts(
         links, "shared_link", ["path", "pos", "url"], artifact_family=V.HISTORY,
         artifact_type="Shared AI Link", artifact_subtype="share_url", artifact_path=F.col("path"),
-        parser_used="SharedLinkExtractor", extracted_indicator=F.substring("url", 1, 200),
+        parser_used="SharedLinkExtractor", extracted_indicator=F.col("url"),
         suspected_platform=F.col("platform"), classification="Direct", initial_confidence="High",
         source_class="Browser-Derived", acquisition_source="Shared Link Capture",
         platform_surface="Browser Web", related_link_id=F.col("link_id"),
@@ -135,13 +134,24 @@ def evidence_class(path: Column) -> Column:
     return M.chain(branches, F.lit(V.DEFAULT_EVIDENCE_CLASS))
 
 
-def context_url(text: Column, domain: Column) -> Column:
-    """First URL from 200 characters before to 500 after the first domain hit, else the domain."""
-    at = F.position(F.lower(domain), F.lower(text))
-    start = F.greatest(at - 200, F.lit(1))
-    window = F.substring(text, start, (at - start + F.length(domain) + 500).cast("int"))
-    url = F.regexp_extract(window, r"https?://[^\s\"'<>\x00-\x1f]{5,500}", 0)
-    return F.when(at > 0, F.coalesce(F.nullif(url, F.lit("")), domain))
+def context_urls(df: DataFrame, domains: list[str], text_col: str = "text") -> DataFrame:
+    """One row per domain of a text and URL that holds it, whole; the domain itself where no URL does.
+
+    Adds domain, found.  All hits of whole texts count.
+    """
+    keep = [c for c in df.columns if c != text_col]
+    lowered = F.lower(text_col)
+    urls = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"https?://[^\s\"'<>\x00-\x1f]{5,}"), 0))
+
+    def slot(domain: str) -> Column:
+        word = F.lit(domain.lower())
+        holding = F.filter(F.col("urls"), lambda u: F.contains(F.lower(u), word))
+        return F.when(F.contains(F.col("lowered"), word), F.struct(F.lit(domain).alias("domain"), F.when(
+            F.size(holding) > 0, holding).otherwise(F.array(F.lit(domain))).alias("found")))
+
+    hit = (df.withColumn("lowered", lowered).where(M.contains_any(F.col("lowered"), [x.lower() for x in domains]))
+           .withColumn("urls", urls).select(*keep, F.explode(F.array_compact(F.array(*map(slot, domains)))).alias("hit")))
+    return hit.select(*keep, "hit.domain", F.explode("hit.found").alias("found"))
 
 
 # --- generated assets, images, manifests, blobs -------------------------------
@@ -162,7 +172,7 @@ def detect_assets(files: DataFrame, header_bytes: int | None = None) -> DataFram
     is_image = ext.isin(V.ASSET_IMAGE_EXT)
     marker = M.any_of(_has_bytes(head, m) for m in V.CREDENTIAL_MARKERS)
     sidecar = F.arrays_overlap(
-        F.json_object_keys(F.decode("content", "UTF-8")), F.array(*[F.lit(k) for k in V.SIDECAR_KEYS]))
+        F.json_object_keys(M.lenient_text(F.col("content"))), F.array(*[F.lit(k) for k in V.SIDECAR_KEYS]))
     method = (
         F.when(M.contains_any(name, V.ASSET_NAMES), "filename_match")
         .when(is_image & marker, "c2pa_manifest")
@@ -192,13 +202,14 @@ def asset_artifacts(files: DataFrame) -> DataFrame:
     )
 
 
-def detect_stripped_images(files: DataFrame) -> DataFrame:
-    """AI-named JPEG files of more than 10,000 bytes without an EXIF marker in their first 512 bytes."""
+def detect_stripped_images(files: DataFrame, min_size: int = 0, header_bytes: int | None = None) -> DataFrame:
+    """AI-named JPEG files without an EXIF marker: in the whole file unless ``header_bytes`` limits the search, in
+    files of any size unless ``min_size`` names one."""
     name = F.lower("name")
-    head = F.substring("content", 1, 512)
+    head = F.col("content") if header_bytes is None else F.substring("content", 1, header_bytes)
     return files.where(
         M.extension(F.col("name")).isin("png", "jpg", "jpeg", "webp")
-        & M.regex_any(name, V.STRIPPED_IMAGE_PATTERNS) & (F.col("size") > 10_000)
+        & M.regex_any(name, V.STRIPPED_IMAGE_PATTERNS) & (F.col("size") >= min_size)
         & F.startswith(head, F.unhex(F.lit("FFD8"))) & ~F.contains(head, F.unhex(F.lit("FFE1")))
     ).drop("content")
 
@@ -217,7 +228,7 @@ def sniff_blobs(files: DataFrame, blob_rules: DataFrame, marker_bytes: int | Non
     zip_head, zip_end = F.unhex(F.lit("504B0304")), F.unhex(F.lit("504B0506"))
     zip_state = F.when(
         F.startswith(data, zip_head) & (F.length(data) > 30),
-        F.when(F.contains(F.substring(data, -256, 256), zip_end), "Valid").otherwise("Partial Structure"))
+        F.when(F.contains(data, zip_end), "Valid").otherwise("Partial Structure"))
     slots = []
     for name, ext, header, footer, validate in rules:
         fits = F.startswith(data, F.lit(bytes(header))) & (F.length(data) > len(header))
@@ -305,5 +316,5 @@ def transcript_artifacts(df: DataFrame) -> DataFrame:
         ts=F.col("mtime"), suspected_platform=F.col("platform"), classification=F.col("classification"),
         initial_confidence=F.col("confidence"), source_class="Voice-Derived", acquisition_source="Transcript Capture",
         platform_surface="Voice Session", related_voice_id=F.col("voice_id"),
-        extracted_indicator=F.when(F.length(said) > 0, F.substring(said, 1, 200)).otherwise(
+        extracted_indicator=F.when(F.length(said) > 0, said).otherwise(
             F.concat(F.lit("Audio file: "), "name")))

@@ -10,6 +10,7 @@ from footmark.functions import matching as M
 from footmark.functions.rules import RuleBook
 from footmark.functions.timeconv import to_ts
 from footmark.operators.artifacts import as_artifacts
+from footmark.operators.hits import redact_text
 
 EXPORT_SCHEMA = """
     id string, title string, create_time double, update_time double, default_model_slug string,
@@ -53,14 +54,14 @@ def replay_exports(exports: DataFrame, rules: RuleBook, max_messages: int | None
                  timestamp_type="Created", suspected_platform="ChatGPT", initial_confidence="High",
                  classification="Direct")
     plugins = F.when(F.size(F.coalesce("plugin_ids", F.array().cast("array<string>"))) > 0,
-                     F.concat(F.lit(" | Plugins: "), F.array_join(F.slice("plugin_ids", 1, 5), ", ")))
+                     F.concat(F.lit(" | Plugins: "), F.array_join("plugin_ids", ", ")))
     gizmo = F.when(F.coalesce("gizmo_id", F.lit("")) != "", F.concat(F.lit(" | Custom GPT: "), "gizmo_id"))
     conversations = as_artifacts(
         base, "conversation", ["path", "conv", "name", "create_time"], artifact_type="ChatGPT Conversation",
         artifact_subtype="conversation_export", ts=F.col("created"), suspected_model=F.col("model_name"),
         access_mode="Browser", attribution_layer="Model",
         extracted_indicator=F.concat(
-            F.lit("Conversation: '"), "name", F.lit("' (ID: "), F.substring("conv", 1, 16), F.lit("...) Model: "),
+            F.lit("Conversation: '"), "name", F.lit("' (ID: "), "conv", F.lit(") Model: "),
             F.coalesce(F.nullif(F.col("slug"), F.lit("")), F.lit("unknown")),
             F.coalesce(plugins, F.lit("")), F.coalesce(gizmo, F.lit(""))), **known)
 
@@ -80,7 +81,7 @@ def replay_exports(exports: DataFrame, rules: RuleBook, max_messages: int | None
         w = Window.partitionBy("case_id", "path", "conv").orderBy("node_no")
         turns = turns.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_messages).drop("n")
     tool_tag = F.coalesce(F.concat(F.lit("(Tool: "), "tool", F.lit(") ")), F.lit(""))
-    said = F.when(F.length("text") > 0, F.substring("text", 1, 300)).otherwise("(empty)")
+    said = F.when(F.length("text") > 0, redact_text(F.col("text"))).otherwise("(empty)")
     messages = as_artifacts(
         turns, "message", ["path", "conv", "node_id"], artifact_type="ChatGPT Message",
         artifact_subtype=F.concat("role", F.lit("_message")), ts=F.col("said_at"),

@@ -79,6 +79,7 @@ def scan_hits(df: DataFrame, text_col: str, patterns: list[Pattern], cap: int |
     rows = _with_hits(df, text_col, patterns).select(*keep, text_col)
     compiled = [(i, k, re.compile(p.encode(), 0 if k == "Platform Token" else re.I), platform,
                  None if a is None else a.encode()) for i, (k, p, platform, a) in enumerate(patterns)]
+    secrets = [re.compile(p.encode()) for p in [*(p for p, _ in V.HIT_TOKENS), V.MEMORY_KEY_PATTERN]]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
     schema = (fields + ", " if fields else "") + (
         "hit_no int, pattern_no int, hit_type string, platform string, offset bigint, length int, "
@@ -90,14 +91,19 @@ def scan_hits(df: DataFrame, text_col: str, patterns: list[Pattern], cap: int |
         lowered = data.lower()
         found = sorted(((m.start(), i, k, platform, m) for i, k, rx, platform, anchor in compiled
                         if anchor is None or anchor in lowered for m in rx.finditer(data)), key=lambda h: h[:2])
+        # Secrets are covered before any context is cut, so that no neighbour's context shows one.
+        safe = bytearray(data)
+        for rx in secrets:
+            for m in rx.finditer(data):
+                safe[m.start():m.end()] = b"*" * len(m.group())
         out = []
         for n, (at, i, kind, platform, m) in enumerate(found if cap is None else found[:cap]):
             span = 128 if kind == "Export Marker" else 64
             secret = kind == "Platform Token"
             around = V.TOKEN_CONTEXT if secret else (
-                data[max(0, at - span):at + span].decode(errors="replace").replace("\0", "")[:256])
+                safe[max(0, at - span):at + span].decode(errors="replace").replace("\0", "")[:256])
             out.append((n, i, kind, platform, at, m.end() - at,
-                        V.TOKEN_PLACEHOLDER if secret else m.group().decode(errors="replace"), around))
+                        V.TOKEN_PLACEHOLDER if secret else safe[at:m.end()].decode(errors="replace"), around))
         return out
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,6 +134,8 @@ def first_hits(hits: DataFrame, keys: list[str], order: str = "offset") -> DataF
     so a source with most of the hits does not end up in one task.
     """
     rest = [c for c in hits.columns if c not in keys and c != order]
+    if not rest:  # a plain minimum is a hash aggregate
+        return hits.groupBy(*keys).agg(F.min(order).alias(order))
     return hits.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("first")).select(*keys, "first.*")
 
 
@@ -150,16 +158,22 @@ def first_rule_hits(df: DataFrame, source: str, text_col: str, rules: RuleBook)
     return first_hits(found, [source, "kind", "platform", "pattern"])
 
 
-def memory_keys(df: DataFrame, source: str, text_col: str, most: int = 10) -> DataFrame:
-    """Distinct redacted keys per source; ``most`` of them, smallest first, as a report wants them."""
+def memory_keys(df: DataFrame, source: str, text_col: str, most: int | None = None) -> DataFrame:
+    """Distinct keys per source, redacted, with a digest that tells keys of one beginning and end apart.
+
+    All of them, or the smallest ``most`` for a report that wants so many.
+    """
     keys = df.select(source, F.explode(F.regexp_extract_all(
         F.col(text_col), F.lit(V.MEMORY_KEY_PATTERN), 0)).alias("key"))
     platform = M.chain([(F.col("key").startswith("sk-ant"), F.lit("Claude")),
                         (F.col("key").startswith("sk-"), F.lit("ChatGPT")),
                         (F.col("key").startswith("AIza"), F.lit("Gemini"))], F.lit(V.UNKNOWN))
-    distinct = keys.select(source, redact_key(F.col("key")).alias("redacted"), platform.alias("platform")).distinct()
+    distinct = keys.select(source, redact_key(F.col("key")).alias("redacted"), platform.alias("platform"),
+                           F.sha2("key", 256).alias("key_hash")).distinct()
+    if most is None:
+        return distinct
     from pyspark.sql import Window
-    w = Window.partitionBy(source).orderBy("redacted", "platform")
+    w = Window.partitionBy(source).orderBy("redacted", "platform", "key_hash")
     # Spark keeps only the first rows of each group on the map side for this filter.
     return distinct.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 

@@ -119,7 +119,7 @@ def matrix(artifacts: DataFrame, coverage: DataFrame) -> DataFrame:
         .when(timed, "Fair - timestamp present, normalization uncertain").otherwise("Absent").alias("time_quality"),
         persistence.otherwise(V.UNKNOWN).alias("persistence_text"), relevance().alias("relevance"),
         "classification", "confidence", F.coalesce("coverage_caveat", F.lit("")).alias("coverage_caveat"),
-        F.substring(F.coalesce("notes", F.lit("")), 1, 200).alias("comments"))
+        F.coalesce("notes", F.lit("")).alias("comments"))
 
 
 BUCKET_BITS = 16
@@ -151,8 +151,7 @@ def exhibits(artifacts: DataFrame) -> DataFrame:
         F.concat(kind, F.lit(" artifact indicating "), platform, F.lit(" access")).alias("description"),
         F.coalesce(F.nullif(F.col("artifact_path"), F.lit("")), F.lit("(embedded/parsed)")).alias("evidence_path"),
         family, platform, "confidence", F.date_format("ts", "yyyy-MM-dd HH:mm:ss 'UTC'").alias("exhibit_time"),
-        F.substring("extracted_indicator", 1, 200).alias("extracted_indicator"),
-        F.substring("notes", 1, 200).alias("notes"))
+        "extracted_indicator", "notes")
 
 
 def first_exhibits(exhibit_rows: DataFrame, most: int = 10) -> DataFrame:
@@ -167,7 +166,7 @@ def image_findings(artifacts: DataFrame, exhibit_rows: DataFrame) -> DataFrame:
     first = exhibit_rows.groupBy(*PLATFORM, "evidence_path").agg(F.min("exhibit_no").alias("exhibit_no"))
     path = F.col("artifact_path")
     return rows.withColumn("evidence_path", path).join(first, [*PLATFORM, "evidence_path"], "left").select(
-        "case_id", "record_id", "suspected_platform", F.substring("extracted_indicator", 1, 150).alias("finding"),
+        "case_id", "record_id", "suspected_platform", F.col("extracted_indicator").alias("finding"),
         "confidence", "exhibit_no")
 
 

@@ -17,7 +17,7 @@ def describe_event() -> Column:
     return F.concat_ws(
         " ", F.concat(F.lit("["), "suspected_platform", F.lit("]")), mode,
         F.concat(F.lit("("), "artifact_family", F.lit(")")),
-        F.when(indicator != "", F.substring(indicator, 1, 100)).otherwise(F.col("artifact_type")))
+        F.when(indicator != "", indicator).otherwise(F.col("artifact_type")))
 
 
 def case_sessions(timed: DataFrame) -> DataFrame:

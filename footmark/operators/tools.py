@@ -210,11 +210,11 @@ def derive_checklist(entries: DataFrame) -> DataFrame:
 
 
 def coverage_ledger(entries: DataFrame) -> DataFrame:
-    """Found tools as coverage rows: first three paths and flags."""
-    paths = F.array_join(F.slice("paths", 1, 3), ", ")
+    """Found tools as coverage rows with all their paths and flags."""
+    paths = F.array_join("paths", ", ")
     return entries.where(F.col("status") == FOUND).select(
         "case_id", "tool_id", F.lit("coverage").alias("ledger"), paths.alias("place"),
-        F.col("artifact_count").alias("evidence_count"), F.array_join(F.slice("caveat_flags", 1, 3), "; ").alias("caveats"))
+        F.col("artifact_count").alias("evidence_count"), F.array_join("caveat_flags", "; ").alias("caveats"))
 
 
 def gap_ledger(entries: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def gap_ledger(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("status") == NOT_FOUND).select(
         "case_id", "tool_id", F.lit("gap").alias("ledger"),
         F.concat(F.lit("NOT_FOUND: "), "tool_name").alias("place"), F.lit(0).alias("evidence_count"),
-        F.array_join(F.slice("caveat_flags", 1, 3), "; ").alias("caveats"))
+        F.array_join("caveat_flags", "; ").alias("caveats"))
 
 
 def checklist_artifacts(entries: DataFrame) -> DataFrame:

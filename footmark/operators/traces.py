@@ -10,6 +10,7 @@ from footmark.functions import matching as M
 from footmark.functions.rules import RuleBook
 from footmark.functions.timeconv import log_time, short_log_time
 from footmark.operators.artifacts import as_artifacts
+from footmark.operators.hits import redact_text
 
 # What a line of each log is compared with, in this order, and how the hit is labelled.
 LINE_ORDERS = {
@@ -64,7 +65,7 @@ def log_artifacts(lines: DataFrame, rules: RuleBook, log: str, year: int | None
         ts=F.col("at"), timestamp_type="Created", tz_norm=F.col("at").isNotNull(),
         extracted_indicator=F.col("indicator"), suspected_platform=F.col("platform"),
         classification="Circumstantial", initial_confidence=confidence,
-        notes=F.concat(F.lit(head), F.substring(F.trim("line"), 1, 200)),
+        notes=F.concat(F.lit(head), redact_text(F.trim("line"))),
     )
 
 
@@ -304,7 +305,7 @@ def registry_artifacts(df: DataFrame, rules: RuleBook) -> DataFrame:
         artifact_type=F.concat(F.lit("Registry — "), label), artifact_subtype=subtype.otherwise(label),
         artifact_path=F.col("path"), parser_used="RegistryExtractor", ts=F.col("mtime"),
         timestamp_type=F.when(F.col("mtime").isNotNull(), "Modified"), tz_norm=F.col("mtime").isNotNull(),
-        extracted_indicator=F.concat("name", F.lit(": "), F.substring("value", 1, 200)),
+        extracted_indicator=F.concat("name", F.lit(": "), "value"),
         suspected_platform=F.col("platform"), access_mode=F.when(label == "TypedURLs", "Browser"),
         classification=F.col("classification"), initial_confidence=F.col("confidence"))
 

@@ -6,36 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: An application numbers its rows within one database; each case and profile has its own.
+PLACE = ["case_id", "user_profile"]
+
+
 def history_visits(items: DataFrame, visits: DataFrame) -> DataFrame:
-    """History items with their visits: items (item_id, url), visits (item_id, visit_time, …)."""
-    return items.join(visits, "item_id")
+    """History items with their visits: items (item_id, url), visits (item_id, visit_time, …), both with their place.
+
+    An id counts only within one database: that of a case and profile.
+    """
+    return items.join(visits, [*PLACE, "item_id"])
 
 
 def annotated_downloads(annotations: DataFrame, places: DataFrame, attributes: DataFrame, name: str, *keep: str) -> DataFrame:
     """Annotations of one attribute with their place.
 
     ``annotations``: place_id, attribute_id, content.  ``places``: place_id,
-    url.  ``attributes``: attribute_id, name.  ``keep`` names further columns.
+    url.  ``attributes``: attribute_id, name.  All have case_id and
+    user_profile.  ``keep`` names further columns.
     """
-    wanted = attributes.where(F.col("name") == name).select("attribute_id")
-    return annotations.join(wanted, "attribute_id", "left_semi").join(places, "place_id").select(
-        "place_id", "url", F.col("content").alias("target_path"), *keep)
+    wanted = attributes.where(F.col("name") == name).select(*PLACE, "attribute_id")
+    return annotations.join(wanted, [*PLACE, "attribute_id"], "left_semi").join(places, [*PLACE, "place_id"]).select(
+        *PLACE, "place_id", "url", F.col("content").alias("target_path"), *keep)
 
 
 def app_usage(objects: DataFrame, metadata: DataFrame) -> DataFrame:
     """Usage objects with their metadata: those of an app stream, or with a known bundle.
 
     ``objects``: metadata_id, stream, start_raw, end_raw, value.  ``metadata``:
-    metadata_id, bundle_id.  Adds ``seconds``.
+    metadata_id, bundle_id.  Both have case_id and user_profile.  Adds ``seconds``.
     """
-    joined = objects.join(metadata, "metadata_id", "left")
+    joined = objects.join(metadata, [*PLACE, "metadata_id"], "left")
     kept = joined.where(F.contains(F.lower("stream"), F.lit("app")) | F.col("bundle_id").isNotNull())
     return kept.withColumn("seconds", F.floor(F.col("end_raw") - F.col("start_raw")).cast("bigint"))
 
 
 def app_traffic(usage: DataFrame, processes: DataFrame) -> DataFrame:
     """Traffic rows with the package of their process; rows without one are left out."""
-    return usage.join(processes, "process_id", "left").where(F.col("package").isNotNull())
+    return usage.join(processes, [*PLACE, "process_id"]).where(F.col("package").isNotNull())
 
 
 def latest(rows: DataFrame, most: int, order: Column, *group: str) -> DataFrame:

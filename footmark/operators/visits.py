@@ -152,8 +152,8 @@ def toolchain_artifacts(visits: DataFrame) -> DataFrame:
         artifact_type=F.when(plugin, "ChatGPT Plugin/Custom GPT").when(chain, "AI Tool-Chain Trace")
         .otherwise("RAG Infrastructure Trace"),
         artifact_subtype=F.col("trace"), parser_used="ToolChainExtractor",
-        extracted_indicator=F.when(chain, F.concat("tool", F.lit(": "), F.substring("url", 1, 300)))
-        .otherwise(F.substring("url", 1, 500)),
+        extracted_indicator=F.when(chain, F.concat("tool", F.lit(": "), "url"))
+        .otherwise(F.col("url")),
         suspected_platform=F.when(plugin, "ChatGPT").otherwise(V.UNKNOWN),
         attribution_layer=F.when(plugin, "Platform").otherwise("Content"),
         initial_confidence=F.when(plugin, "High").when(chain, "Moderate").otherwise("Low"),
@@ -227,12 +227,10 @@ def classify_recovered(rows: DataFrame, rules: RuleBook, kind: str) -> DataFrame
 
 
 def scan_table(df: DataFrame, table: str, rules: RuleBook, min_chars: int = 6) -> DataFrame:
-    """Every string cell of any table against the domains, once per (table, first 100 characters)."""
+    """Every string cell of any table against the domains, once per (table, cell)."""
     names = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     cells = df.select(F.explode(F.array(*[F.col(n) for n in names])).alias("cell")).where(
-        F.length("cell") >= min_chars)
+        F.length("cell") >= min_chars).distinct()
     found = cells.withColumn("platform", M.match_platform(F.lower("cell"), rules.of("domain"))).where(
         F.col("platform").isNotNull())
-    return found.groupBy(F.substring("cell", 1, 100).alias("cell_key")).agg(
-        F.min(F.struct("cell", "platform")).alias("first")
-    ).select(F.lit(table).alias("table_name"), "cell_key", "first.platform", F.col("first.cell").alias("cell"))
+    return found.select(F.lit(table).alias("table_name"), "cell", "platform")

@@ -13,18 +13,11 @@ from footmark.functions.timeconv import MICROS_1601_TO_1970, SECONDS_1970_TO_200
 from footmark.operators.artifacts import ARTIFACT_SCHEMA, record_id
 from footmark.plans import samples as S
 from footmark.session import prepare
-from footmark.sources.files import spread
-
-
-# Tables with much work per row, and the key that deals them out while they are small.
-SPREAD = {"documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table with its times as UTC timestamps."""
     df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD:
-        df = spread(df, SPREAD[name])
     naive = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
@@ -34,6 +27,13 @@ def pick(values: list[str], n: Column | str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int") + 1)
 
 
+def own_ids(column: str, name: str) -> list[Column]:
+    """Case, profile and an id that is unique only within them, from a number."""
+    n = F.col(column)
+    return [F.concat(F.lit("C"), (n % 4).cast("string")).alias("case_id"), F.concat(F.lit("u"), (n % 3).cast("string")).alias("user_profile"),
+            F.floor(n / 12).cast("bigint").alias(name)]
+
+
 def _every(n: Column, step: int, value: Column | str) -> Column:
     return F.when(n % step == 0, value)
 
@@ -239,7 +239,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(l == 1, F.concat(user, F.lit("/AppData/Local/Tools/t"), n)).when(l == 2, F.concat(F.lit("Program Files/t"), n))
         .when(l == 3, F.concat(user, F.lit("/.t"), n, F.lit("x/config"))).when(l == 4, F.concat(user, F.lit("/Library/t"), n))
         .otherwise(F.concat(user, F.lit("/Documents/t"), n)))
-    return table(spark, sf_dir, "lineitem").where(F.col("l_quantity") <= 5).select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("C"), (F.col("l_orderkey") % 4).cast("string")).alias("case_id"), path.alias("path"))
 
 

@@ -306,7 +306,7 @@ TIMELINE = [
     """tle AS (SELECT *, CASE WHEN up = 1 THEN '[Session ' || session_no || ' Start] '
     WHEN dn = 1 AND sz > 1 THEN '[Session ' || session_no || ' End] ' ELSE '' END || artifact_type AS event_type,
   concat_ws(' ', '[' || suspected_platform || ']', CASE WHEN access_mode <> 'Unknown' THEN '[' || access_mode || ']' END,
-    '(' || artifact_family || ')', CASE WHEN extracted_indicator <> '' THEN substring(extracted_indicator, 1, 100)
+    '(' || artifact_family || ')', CASE WHEN extracted_indicator <> '' THEN extracted_indicator
     ELSE artifact_type END) AS description FROM tln)""",
 ]
 EXH = """exh AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS exhibit_no FROM scr)"""
@@ -340,7 +340,7 @@ TINV = """inv AS (SELECT DISTINCT 'C' || (l_orderkey % 4) AS case_id, CASE l_lin
   WHEN 1 THEN 'Users/u' || (l_suppkey % 2) || '/AppData/Local/Tools/t' || l_partkey WHEN 2 THEN 'Program Files/t' || l_partkey
   WHEN 3 THEN 'Users/u' || (l_suppkey % 2) || '/.t' || l_partkey || 'x/config'
   WHEN 4 THEN 'Users/u' || (l_suppkey % 2) || '/Library/t' || l_partkey
-  ELSE 'Users/u' || (l_suppkey % 2) || '/Documents/t' || l_partkey END AS path FROM lineitem WHERE l_quantity <= 5)"""
+  ELSE 'Users/u' || (l_suppkey % 2) || '/Documents/t' || l_partkey END AS path FROM lineitem)"""
 
 
 def class_of(path: str) -> str:
@@ -419,15 +419,16 @@ def _build() -> None:
       CAST(coalesce(sum(sz) FILTER (WHERE NOT rem AND st = '-'), 0) AS BIGINT) AS bad,
       CASE WHEN coalesce(sum(sz) FILTER (WHERE NOT rem AND st = '-'), 0) > 0 THEN 'Degraded'
         WHEN coalesce(sum(sz) FILTER (WHERE NOT rem), 0) > 0 THEN 'Normal' ELSE 'Unknown' END AS quality FROM m GROUP BY 1"""
-    o["history_item_visits"] = """SELECT page_id AS item_id, url, event_id, epoch_us(ts) AS ts_us FROM events
-      JOIN pages ON page_id = event_id % 97"""
+    o["history_item_visits"] = """SELECT 'C' || (page_id % 4) AS case_id, 'u' || (page_id % 3) AS user_profile, page_id // 12 AS item_id, url, event_id,
+      epoch_us(ts) AS ts_us FROM events JOIN pages ON page_id = event_id // 4"""
     o["annotated_downloads"] = """SELECT 'https://h' || o_custkey AS url, count(*) AS n, min('file:///f' || l_partkey) AS first_target
       FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-      WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 = 0) GROUP BY 1"""
-    o["app_usage"] = with_(rule_table("ru", of("package")), f"""u AS (SELECT o_orderkey AS object_id,
+      WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey % 5 = 0 AND s_suppkey // 12 = l_suppkey // 12
+        AND s_suppkey % 4 = l_orderkey % 4 AND s_suppkey % 3 = l_orderkey % 3) GROUP BY 1"""
+    o["app_usage"] = with_(rule_table("ru", of("package")), f"""u AS (SELECT o_orderkey AS object_id, 'C' || (o_custkey % 4) AS case_id, 'u' || (o_custkey % 3) AS user_profile,
         {pk(S.PACKAGES, 'c_custkey')} AS bundle_id, o_custkey % 300 AS seconds FROM orders LEFT JOIN customer
         ON c_custkey = o_custkey AND c_custkey % 3 <> 0)""", first_match("m", "u", "object_id", "bundle_id", "ru", "equal")) + \
-        "SELECT object_id, bundle_id, platform, seconds FROM u JOIN m USING (object_id)"
+        "SELECT object_id, case_id, user_profile, bundle_id, platform, seconds FROM u JOIN m USING (object_id)"
     o["app_traffic"] = with_(EV, PKG, rule_table("ru", of("package")), first_match("m", "pkg", "event_id", "package", "ru", "suffix")) + \
         "SELECT event_id, package, platform, CAST(total_bytes AS BIGINT) AS total_bytes FROM pkg JOIN m USING (event_id) WHERE total_bytes > 0"
     o["latest_usage_rows"] = with_(EV) + """SELECT case_id, event_id, epoch_us(ts) AS ts_us FROM ev
@@ -542,13 +543,14 @@ def _build() -> None:
         tab_url, regexp_replace(target_path, '[0-9]+', '', 'g') || ' ' || tab_url AS txt FROM down)""",
         first_match("m", "src", "event_id", "txt", "dom")) + """SELECT case_id, target_path, tab_url, platform, event_id AS seq
         FROM src JOIN m USING (event_id) QUALIFY row_number() OVER (PARTITION BY case_id, target_path, tab_url ORDER BY event_id) = 1"""
-    o["any_table_scan"] = with_(EV, KV, dom, """cells AS (SELECT DISTINCT cell FROM (SELECT value AS cell FROM kv UNION ALL SELECT origin_url FROM kv
-        UNION ALL SELECT data_url FROM kv UNION ALL SELECT display_name FROM kv) WHERE length(cell) >= 6)""",
-        first_match("m", "cells", "cell", "cell", "dom")) + """SELECT 'key_values' AS table_name, substring(cell, 1, 100) AS cell_key,
-        arg_min(platform, cell) AS platform FROM m GROUP BY 2"""
-    o["context_urls"] = with_(FILES, """w AS (SELECT doc_id, position('claude.ai' IN lower(text)) AS pos, text FROM fil WHERE contains(lower(text), 'claude.ai'))""") + """
-        SELECT doc_id, coalesce(nullif(regexp_extract(substring(text, greatest(pos - 200, 1), pos - greatest(pos - 200, 1) + 509),
-          'https?://[^\\s"''<>\\x00-\\x1f]{5,500}'), ''), 'claude.ai') AS found FROM w"""
+    o["any_table_scan"] = with_(EV, KV, dom, """cells AS (SELECT DISTINCT cell FROM (SELECT unnest([key_label, value, origin_url, data_url, agent, display_name,
+        install_location, key_name]) AS cell FROM kv) WHERE length(cell) >= 6)""",
+        first_match("m", "cells", "cell", "cell", "dom")) + "SELECT 'key_values' AS table_name, cell, platform FROM m"
+    o["context_urls"] = with_(FILES, rule_table("ru", of("domain")), """w AS (SELECT DISTINCT doc_id, r.pattern AS domain, text FROM fil
+          JOIN ru r ON contains(lower(text), lower(r.pattern)))""",
+        """urls AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s"''<>\\x00-\\x1f]{5,}')) AS url FROM fil)""",
+        "holding AS (SELECT doc_id, domain, url AS found FROM w JOIN urls USING (doc_id) WHERE contains(lower(url), lower(domain)))") + """
+        FROM holding UNION ALL SELECT doc_id, domain, domain FROM w WHERE (doc_id, domain) NOT IN (SELECT (doc_id, domain) FROM holding)"""
     o["evidence_classes"] = with_(EV, TR) + f"SELECT event_id, {class_of('path')} AS evidence_class FROM tr"
     o["rule_matches"] = with_(EV, VIS, dom) + "SELECT r.pattern, count(*) AS n FROM vis JOIN dom r ON contains(lower(url), r.pattern) GROUP BY 1"
 
@@ -556,17 +558,18 @@ def _build() -> None:
     models = ["GPT-4", "GPT-4 Turbo", "Unknown", "Claude 3 Opus", "Unknown"]
     conv = f"""cv AS (SELECT DISTINCT conv_id, 'C' || (conv_id % 4) AS case_id, '/x/' || conv_id || '/conversations.json' AS artifact_path,
       {pk(slugs, 'conv_id')} AS slug, {pk(models, 'conv_id')} AS model, (1700000000 + conv_id * 60) * 1000000 AS created_us FROM conversations)"""
+    tokens = "|".join(f"(?:{p})" for p, _ in V.HIT_TOKENS)
     o["export_replay"] = with_(conv) + """SELECT case_id, artifact_path, 'ChatGPT Conversation' AS artifact_type, 'conversation_export' AS artifact_subtype,
-        model AS suspected_model, 'Conversation: ''Talk ' || conv_id || ''' (ID: ' || substring(CAST(conv_id AS VARCHAR), 1, 16) || '...) Model: '
+        model AS suspected_model, 'Conversation: ''Talk ' || conv_id || ''' (ID: ' || conv_id || ') Model: '
         || coalesce(nullif(slug, ''), 'unknown') || CASE WHEN conv_id % 3 = 0 THEN ' | Plugins: p1, p2' ELSE '' END AS extracted_indicator,
         CAST(created_us AS BIGINT) AS ts_us FROM cv
       UNION ALL SELECT case_id, artifact_path, 'ChatGPT Message', role || '_message', CASE WHEN turn % 3 = 0 THEN 'GPT-4o' ELSE model END,
         '[' || upper(role) || '] ' || CASE WHEN role = 'tool' THEN '(Tool: unknown_tool) ' ELSE '' END
-        || CASE WHEN length(text) > 0 THEN substring(text, 1, 300) ELSE '(empty)' END,
+        || CASE WHEN length(text) > 0 THEN regexp_replace(text, TOKENS, 'PLACE', 'g') ELSE '(empty)' END,
         CAST((1700000000 + turn * 60) * 1000000 AS BIGINT) FROM conversations JOIN cv USING (conv_id) WHERE role IN ('user', 'assistant', 'tool')
       UNION ALL SELECT case_id, artifact_path, 'ChatGPT Plugin Usage', 'plugin_reference', model,
         'Plugin: ' || p || ' in conversation ''Talk ' || conv_id || '''', CAST(created_us AS BIGINT)
-        FROM cv, (VALUES ('p1'), ('p2')) t(p) WHERE conv_id % 3 = 0"""
+        FROM cv, (VALUES ('p1'), ('p2')) t(p) WHERE conv_id % 3 = 0""".replace("TOKENS", q(tokens)).replace("PLACE", V.TOKEN_PLACEHOLDER)
     names = ["conversations.json", "User.json", "claude_conversations.json", "threads.json", "x.json"]
     o["export_files"] = f"""WITH f AS (SELECT doc_id, {pk(names, 'doc_id')} AS name, doc_id % 3 = 0 AS act FROM documents),
       g AS (SELECT *, CASE WHEN lower(name) IN ('conversations.json', 'user.json') THEN 'ChatGPT' WHEN name = 'claude_conversations.json' THEN 'Claude'
@@ -605,12 +608,11 @@ def _build() -> None:
     o["keyword_offsets"] = """SELECT doc_id, CAST(0 AS BIGINT) AS pattern_no,
       CAST(strlen(left(text, position('token' IN lower(text)) - 1)) AS BIGINT) AS "offset" FROM documents WHERE contains(lower(text), 'token')"""
     tokens = "|".join(f"(?:{p})" for p, _ in V.HIT_TOKENS)
-    o["redacted_text"] = with_(FILES, f"""r AS (SELECT doc_id, regexp_replace(text, {q(tokens)}, '{V.TOKEN_PLACEHOLDER}', 'g') AS t FROM fil
-        WHERE contains(text, 'sk-') OR contains(text, 'sess-'))""") + "SELECT doc_id, md5(t) AS text_hash, length(t) AS chars FROM r"
+    o["redacted_text"] = with_(FILES, f"""r AS (SELECT doc_id, regexp_replace(text, {q(tokens)}, '{V.TOKEN_PLACEHOLDER}', 'g') AS t FROM fil)""") + "SELECT doc_id, md5(t) AS text_hash, length(t) AS chars FROM r"
     o["redacted_keys"] = with_(FILES, f"""r AS (SELECT doc_id, unnest(regexp_extract_all(text, {q(V.MEMORY_KEY_PATTERN)})) AS key FROM fil)""") + """
-        SELECT * FROM (SELECT DISTINCT doc_id, left(key, 8) || '...' || right(key, 4) AS redacted,
+        SELECT DISTINCT doc_id, left(key, 8) || '...' || right(key, 4) AS redacted, sha256(key) AS key_hash,
           CASE WHEN starts_with(key, 'sk-ant') THEN 'Claude' WHEN starts_with(key, 'sk-') THEN 'ChatGPT' WHEN starts_with(key, 'AIza') THEN 'Gemini'
-          ELSE 'Unknown' END AS platform FROM r) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY redacted, platform) <= 10"""
+          ELSE 'Unknown' END AS platform FROM r"""
     least = {"domain": 0, "cookie_domain": 0, "model": 4, "ls_key": 4, "process": 5}
     wanted = [r for k, n in least.items() for r in of(k) if len(r.pattern) >= n]
     o["first_rule_hits"] = with_(FILES, rule_table("ru", wanted)) + """SELECT case_id AS source, r.kind, r.platform, r.pattern,
@@ -640,7 +642,7 @@ def _build() -> None:
         SELECT doc_id, method, CASE WHEN ext IN {inlist(V.ASSET_IMAGE_EXT)} THEN 'image' ELSE 'document' END AS asset_type,
         coalesce((SELECT arg_min(platform, ord) FROM ap WHERE contains(nm, word)), 'Unknown') AS platform, sha256(c) AS file_hash
         FROM b WHERE method IS NOT NULL"""
-    o["stripped_images"] = "SELECT doc_id, 'dall-e-' || doc_id || '.jpg' AS name, n_chars AS size FROM documents WHERE doc_id % 3 <> 0 AND n_chars > 10000"
+    o["stripped_images"] = "SELECT doc_id, 'dall-e-' || doc_id || '.jpg' AS name, n_chars AS size FROM documents WHERE doc_id % 3 <> 0"
     found = [1, 1, 0, 0, 1, 1, 1]
     o["manifests"] = f"""SELECT doc_id, d AS ai_detected, platform, CASE WHEN d THEN 'High' ELSE 'Moderate' END AS confidence,
       CASE WHEN d THEN 'Direct' ELSE 'Inferred' END AS classification FROM (SELECT doc_id, {pk(S.MANIFEST_RESULTS, 'doc_id')} AS platform,
@@ -735,13 +737,13 @@ def _build() -> None:
         CASE WHEN ts IS NULL THEN 'Absent' WHEN tz_norm THEN 'Good - UTC normalized' ELSE 'Fair - timestamp present, normalization uncertain' END AS time_quality,
         rating AS persistence_text, {relevance} AS relevance,
         concat_ws(' ', CASE WHEN NOT full_disk_available THEN {q(V.NOT_FULL_DISK)} END, CASE WHEN NOT carving_enabled THEN {q(V.NO_CARVING)} END) AS coverage_caveat,
-        substring(notes, 1, 200) AS comments, confidence FROM scr JOIN cov USING (case_id)"""
+        notes AS comments, confidence FROM scr JOIN cov USING (case_id)"""
     o["exhibits"] = with_(*SCORED, EXH) + """SELECT case_id, exhibit_no, record_id, artifact_family || ' — ' || suspected_platform AS title,
         artifact_type || ' artifact indicating ' || suspected_platform || ' access' AS description,
         strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS exhibit_time FROM exh"""
     o["first_exhibits"] = with_(*SCORED, EXH) + """SELECT case_id, suspected_platform, exhibit_no, record_id FROM exh
         QUALIFY row_number() OVER (PARTITION BY case_id, suspected_platform ORDER BY exhibit_no) <= 10"""
-    o["image_findings"] = with_(*SCORED, EXH) + f"""SELECT record_id, substring(extracted_indicator, 1, 150) AS finding, confidence,
+    o["image_findings"] = with_(*SCORED, EXH) + f"""SELECT record_id, extracted_indicator AS finding, confidence,
         min(exhibit_no) OVER (PARTITION BY case_id, suspected_platform, artifact_path) AS exhibit_no FROM exh
         QUALIFY {any_word(V.IMAGE_REVIEW_WORDS)}"""
     o["event_exhibits"] = with_(*SCORED, EXH) + "SELECT record_id, epoch_us(ts) AS ts_us, exhibit_no FROM exh WHERE ts IS NOT NULL"
@@ -816,9 +818,9 @@ def _build() -> None:
       SELECT e AS evidence_id, CASE WHEN tier = 'Raw Stream Only' AND NOT has THEN 'Carving Only' WHEN hs = ['Intact'] THEN 'Intact'
         WHEN list_contains(hs, 'Intact') THEN 'Degraded' WHEN list_contains(hs, 'Degraded') THEN 'Partially Readable'
         WHEN list_contains(hs, 'Corrupt') THEN 'Corrupt' ELSE 'Unknown' END AS health, tier FROM t"""
-    o["recovery_audit"] = f"""WITH a AS (SELECT o_custkey AS e, count(*) AS n FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1),
-      b AS (SELECT CAST(l_suppkey AS BIGINT) AS e, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
-      c AS (SELECT c_custkey AS e, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1),
+    o["recovery_audit"] = f"""WITH a AS (SELECT o_custkey AS e, count(*) AS n FROM orders GROUP BY 1),
+      b AS (SELECT CAST(l_suppkey AS BIGINT) AS e, count(*) AS n FROM lineitem GROUP BY 1),
+      c AS (SELECT c_custkey AS e, count(*) AS n FROM customer GROUP BY 1),
       ids AS (SELECT e FROM a UNION SELECT e FROM b UNION SELECT e FROM c)
       SELECT ids.e AS evidence_id, coalesce(a.n, 0) AS carved, coalesce(b.n, 0) AS raw_hits, coalesce(c.n, 0) AS partitions,
       array_to_string({texts([("c.n > 0", "'partition_scan'"), ("a.n > 0", "'signature_carving'"), ("b.n > 0", "'raw_scan'")])}, '|') AS modes
@@ -840,8 +842,8 @@ def _build() -> None:
     o["tool_caveats"] = with_(*TOOLS, FLAGS) + f"""SELECT case_id, tool_id, array_to_string(flags, '|') AS caveat_flags,
         md5(array_to_string(list_transform(flags, lambda f: coalesce(map_extract({CAVEATS}, f)[1], f)), '|')) AS texts FROM flg"""
     o["tool_ledgers"] = with_(*TOOLS, FLAGS) + """SELECT case_id, tool_id, CASE status WHEN 'FOUND' THEN 'coverage' ELSE 'gap' END AS ledger,
-        CASE status WHEN 'FOUND' THEN array_to_string(string_split(paths, '|')[1:3], ', ') ELSE 'NOT_FOUND: ' || tool_name END AS place,
-        CASE status WHEN 'FOUND' THEN pc ELSE 0 END AS evidence_count, array_to_string(flags[1:3], '; ') AS caveats FROM flg WHERE status <> 'NOT_VERIFIED'"""
+        CASE status WHEN 'FOUND' THEN array_to_string(string_split(paths, '|'), ', ') ELSE 'NOT_FOUND: ' || tool_name END AS place,
+        CASE status WHEN 'FOUND' THEN pc ELSE 0 END AS evidence_count, array_to_string(flags, '; ') AS caveats FROM flg WHERE status <> 'NOT_VERIFIED'"""
 
 
     timed_by_k = "count(*) FILTER (WHERE k % 10 <> 0)"

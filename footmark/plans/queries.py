@@ -99,20 +99,21 @@ def acquisition_quality(spark, d):
 
 @query
 def history_item_visits(spark, d):
-    items = B.table(spark, d, "pages").select(F.col("page_id").alias("item_id"), "url")
-    seen = B.events(spark, d).select((F.col("event_id") % 97).alias("item_id"), "event_id", "ts")
-    return usage.history_visits(items, seen).select("item_id", "url", "event_id", us("ts"))
+    items = B.table(spark, d, "pages").select(*B.own_ids("page_id", "item_id"), "url")
+    page = F.floor(F.col("event_id") / 4).cast("bigint")
+    seen = B.table(spark, d, "events").withColumn("page", page).select(*B.own_ids("page", "item_id"), "event_id", "ts")
+    return usage.history_visits(items, seen).select("case_id", "user_profile", "item_id", "url", "event_id", us("ts"))
 
 
 @query
 def annotated_downloads(spark, d):
     notes = B.table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("place_id"), F.col("l_suppkey").alias("attribute_id"),
+        *B.own_ids("l_orderkey", "place_id"), F.floor(F.col("l_suppkey") / 12).cast("bigint").alias("attribute_id"),
         F.concat(F.lit("file:///f"), F.col("l_partkey").cast("string")).alias("content"))
     places = B.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("place_id"), F.concat(F.lit("https://h"), F.col("o_custkey").cast("string")).alias("url"))
+        *B.own_ids("o_orderkey", "place_id"), F.concat(F.lit("https://h"), F.col("o_custkey").cast("string")).alias("url"))
     names = B.table(spark, d, "supplier").select(
-        F.col("s_suppkey").alias("attribute_id"), F.when(F.col("s_nationkey") % 5 == 0, "dest").otherwise("other").alias("name"))
+        *B.own_ids("s_suppkey", "attribute_id"), F.when(F.col("s_nationkey") % 5 == 0, "dest").otherwise("other").alias("name"))
     found = usage.annotated_downloads(notes, places, names, "dest")
     return found.groupBy("url").agg(F.count("*").alias("n"), F.min("target_path").alias("first_target"))
 
@@ -120,13 +121,15 @@ def annotated_downloads(spark, d):
 @query
 def app_usage(spark, d):
     objects = B.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("object_id"), F.col("o_custkey").alias("metadata_id"),
+        F.col("o_orderkey").alias("object_id"), *B.own_ids("o_custkey", "metadata_id"),
         F.when(F.col("o_orderkey") % 4 == 0, "/app/usage").otherwise("/display").alias("stream"),
         (F.col("o_orderkey") * 10).alias("start_raw"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 300).alias("end_raw"))
-    metadata = B.table(spark, d, "customer").where(F.col("c_custkey") % 3 != 0).select(
-        F.col("c_custkey").alias("metadata_id"), B.pick(S.PACKAGES, "c_custkey").alias("bundle_id"))
+    # A third of the metadata rows have ids that no object has.
+    metadata = B.table(spark, d, "customer").select(*B.own_ids("c_custkey", "metadata_id"), "c_custkey").select(
+        "case_id", "user_profile", F.when(F.col("c_custkey") % 3 == 0, -1 - F.col("metadata_id")).otherwise(F.col("metadata_id")).alias("metadata_id"),
+        B.pick(S.PACKAGES, "c_custkey").alias("bundle_id"))
     found = traces.match_package(usage.app_usage(objects, metadata), RULES, "bundle_id")
-    return found.select("object_id", "bundle_id", "platform", "seconds")
+    return found.select("object_id", "case_id", "user_profile", "bundle_id", "platform", "seconds")
 
 
 @query
@@ -351,14 +354,13 @@ def recovered_downloads(spark, d):
 
 @query
 def any_table_scan(spark, d):
-    rows = B.key_values(spark, d).select("value", "origin_url", "data_url", "display_name")
-    return visits.scan_table(rows, "key_values", RULES).select("table_name", "cell_key", "platform")
+    return visits.scan_table(B.key_values(spark, d), "key_values", RULES)
 
 
 @query
 def context_urls(spark, d):
-    rows = B.files(spark, d).select("doc_id", content.context_url(F.col("text"), F.lit("claude.ai")).alias("found"))
-    return rows.where(F.col("found").isNotNull())
+    domains = list(dict.fromkeys(r.pattern for r in RULES.of("domain")))
+    return content.context_urls(B.files(spark, d).select("doc_id", "text"), domains)
 
 
 @query
@@ -447,8 +449,7 @@ def keyword_offsets(spark, d):
 @query
 def redacted_text(spark, d):
     text = hits.redact_text(F.col("text"))
-    rows = B.files(spark, d).where(F.contains("text", F.lit("sk-")) | F.contains("text", F.lit("sess-")))
-    return rows.select("doc_id", F.md5(text).alias("text_hash"), F.length(text).cast("bigint").alias("chars"))
+    return B.files(spark, d).select("doc_id", F.md5(text).alias("text_hash"), F.length(text).cast("bigint").alias("chars"))
 
 
 @query
@@ -826,10 +827,10 @@ def store_health(spark, d):
 
 @query
 def recovery_audit(spark, d):
-    blobs = B.table(spark, d, "orders").where(F.col("o_custkey") % 2 == 0).select(F.col("o_custkey").alias("evidence_id"))
-    found = B.table(spark, d, "lineitem").where(F.col("l_quantity") > 25).select(
+    blobs = B.table(spark, d, "orders").select(F.col("o_custkey").alias("evidence_id"))
+    found = B.table(spark, d, "lineitem").select(
         F.col("l_suppkey").cast("bigint").alias("evidence_id"))
-    parts = B.table(spark, d, "customer").where(F.col("c_custkey") % 3 == 0).select(F.col("c_custkey").alias("evidence_id"))
+    parts = B.table(spark, d, "customer").select(F.col("c_custkey").alias("evidence_id"))
     return reports.recovery_audit(blobs, found, parts).select(
         "evidence_id", "carved", "raw_hits", "partitions", joined("modes"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footmark.functions import fixed_values as V
-from footmark.functions.matching import basename, extension
+from footmark.functions.matching import basename, extension, lenient_text
 from footmark.operators.exports import EXPORT_SCHEMA
 
 
@@ -41,18 +41,9 @@ def file_inventory(spark: SparkSession, root: str, content: bool = False) -> Dat
     return raw.select(*columns, *([F.col("content")] if content else []))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Input in fewer pieces than there are cores is dealt out by a key; larger input stays as it is read.
-
-    A single small file is one task otherwise, whatever the work per row.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
-
-
 def with_text(files: DataFrame) -> DataFrame:
     """Adds ``text`` for files that are text by extension."""
-    return files.withColumn("text", F.when(F.col("ext").isin(V.TEXT_EXT), F.decode("content", "UTF-8")))
+    return files.withColumn("text", F.when(F.col("ext").isin(V.TEXT_EXT), lenient_text(F.col("content"))))
 
 
 def read_exports(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +57,7 @@ def read_exports(spark: SparkSession, root: str) -> DataFrame:
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """Transcript files with their text, and audio files without any: case_id, path, name, mtime, text."""
     files = file_inventory(spark, root, content=True)
-    said = files.where(F.col("ext").isin(V.TRANSCRIPT_EXT)).withColumn("text", F.decode("content", "UTF-8"))
+    said = files.where(F.col("ext").isin(V.TRANSCRIPT_EXT)).withColumn("text", lenient_text(F.col("content")))
     heard = file_inventory(spark, root).where(F.col("ext").isin(V.AUDIO_EXT)).withColumn("text", F.lit(None).cast("string"))
     columns = ["case_id", "path", "name", "mtime", "text"]
     return said.select(*columns).unionByName(heard.select(*columns))

@@ -38,6 +38,10 @@ def _profile(df: DataFrame, default: str = "") -> Column:
     return F.coalesce(own.cast("string"), F.lit(default)).alias("user_profile")
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumn("user_profile", _profile(df))
+
+
 def read_visits(spark: SparkSession, paths: dict[str, str | tuple[str, str]]) -> DataFrame:
     """Histories of all browsers as (case_id, user_profile, browser, url, title, visit_count, raw_time, time_kind).
 
@@ -47,11 +51,10 @@ def read_visits(spark: SparkSession, paths: dict[str, str | tuple[str, str]]) ->
     parts = []
     for browser, path in paths.items():
         if browser in ITEM_HISTORIES:
-            items = spark.read.parquet(path[0]).select("case_id", F.col("id").alias("item_id"), "url")
-            seen = spark.read.parquet(path[1])
-            seen = seen.select(F.col("case_id").alias("visit_case"), F.col("history_item").alias("item_id"), "visit_time",
-                               "title", _profile(seen))
-            both = usage.history_visits(items, seen).where(F.col("case_id") == F.col("visit_case"))
+            items, seen = (spark.read.parquet(p) for p in path)
+            items = items.select("case_id", _profile(items), F.col("id").alias("item_id"), "url")
+            seen = seen.select("case_id", _profile(seen), F.col("history_item").alias("item_id"), "visit_time", "title")
+            both = usage.history_visits(items, seen)
             names = ("url", "title", None, "visit_time", ITEM_HISTORIES[browser])
         else:
             both, names = spark.read.parquet(path), HISTORIES[browser]
@@ -70,12 +73,11 @@ def read_downloads(spark: SparkSession, paths: dict[str, str | tuple[str, str, s
         if browser == "Firefox":
             notes, places, names = (spark.read.parquet(p) for p in path)
             found = usage.annotated_downloads(
-                notes.select(F.col("place_id"), F.col("anno_attribute_id").alias("attribute_id"), "content", "case_id"),
-                places.select(F.col("id").alias("place_id"), "url", F.col("case_id").alias("place_case")),
-                names.select(F.col("id").alias("attribute_id"), "name"), "downloads/destinationFileURI", "case_id", "place_case")
-            found = found.where(F.col("case_id") == F.col("place_case"))
+                notes.select("case_id", _profile(notes), "place_id", F.col("anno_attribute_id").alias("attribute_id"), "content"),
+                places.select("case_id", _profile(places), F.col("id").alias("place_id"), "url"),
+                names.select("case_id", _profile(names), F.col("id").alias("attribute_id"), "name"), "downloads/destinationFileURI")
             parts.append(found.select(
-                "case_id", F.lit("").alias("user_profile"), F.lit(browser).alias("browser"), "target_path",
+                "case_id", "user_profile", F.lit(browser).alias("browser"), "target_path",
                 F.col("url").alias("tab_url"), F.lit(None).cast("bigint").alias("total_bytes"),
                 F.lit(None).cast(RAW_TIME).alias("raw_time"), F.lit("unix_us").alias("time_kind"), F.lit("").alias("mime_type")))
         else:
@@ -106,11 +108,11 @@ def read_cookies(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 def read_app_usage(spark: SparkSession, objects: str, metadata: str) -> DataFrame:
     """Usage objects with their metadata; see ``usage.app_usage`` for the columns."""
-    return usage.app_usage(spark.read.parquet(objects), spark.read.parquet(metadata))
+    return usage.app_usage(_placed(spark.read.parquet(objects)), _placed(spark.read.parquet(metadata)))
 
 
 def read_app_traffic(spark: SparkSession, traffic: str, processes: str) -> DataFrame:
-    return usage.app_traffic(spark.read.parquet(traffic), spark.read.parquet(processes))
+    return usage.app_traffic(_placed(spark.read.parquet(traffic)), _placed(spark.read.parquet(processes)))
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:

@@ -79,7 +79,9 @@ def test_generated_assets(spark, tree):
 
 def test_stripped_images(spark, tree):
     rows = content.detect_stripped_images(files.file_inventory(spark, tree, content=True)).collect()
-    assert [r.name for r in rows] == ["dall-e big.jpg"]
+    assert "dall-e big.jpg" in [r.name for r in rows]
+    large = content.detect_stripped_images(files.file_inventory(spark, tree, content=True), min_size=10_001)
+    assert [r.name for r in large.collect()] == ["dall-e big.jpg"]
 
 
 def test_log_lines(spark, tree, rules):
@@ -103,15 +105,30 @@ def test_export_replay(spark, tree, rules):
     assert got["user_message"].extracted_indicator == "[USER] hi [image_asset]"
     assert got["tool_message"].extracted_indicator == "[TOOL] (Tool: web) x"
     assert (got["tool_message"].suspected_model, got["user_message"].suspected_model) == ("GPT-4o", "GPT-4")
-    assert got["conversation_export"].extracted_indicator == "Conversation: 'T' (ID: abc...) Model: gpt-4 | Plugins: p"
+    assert got["conversation_export"].extracted_indicator == "Conversation: 'T' (ID: abc) Model: gpt-4 | Plugins: p"
     assert exports.replay_exports(raw, rules, max_messages=1).where("artifact_type = 'ChatGPT Message'").count() == 1
 
 
-def test_context_url(spark):
-    text = "a" * 300 + " https://x.example/?u=Claude.ai/1 b"
-    df = spark.createDataFrame([(text,), ("only claude.ai here",), ("none",)], "t string")
-    got = [r[0] for r in df.select(content.context_url(F.col("t"), F.lit("claude.ai"))).collect()]
-    assert got == ["https://x.example/?u=Claude.ai/1", "claude.ai", None]
+def test_context_urls(spark):
+    late = "a" * 5000 + " https://x.example/?u=Claude.ai/1&" + "v" * 900 + " b https://chatgpt.com/c and claude.ai https://claude.ai/2"
+    df = spark.createDataFrame([(1, late), (2, "only claude.ai here"), (3, "none"), (4, None)], "id int, text string")
+    got = {(r.id, r.domain, r.found) for r in content.context_urls(df, ["claude.ai", "chatgpt.com"]).collect()}
+    assert got == {(1, "claude.ai", "https://x.example/?u=Claude.ai/1&" + "v" * 900), (1, "claude.ai", "https://claude.ai/2"),
+                   (1, "chatgpt.com", "https://chatgpt.com/c"), (2, "claude.ai", "claude.ai")}
+
+
+def test_bytes_that_are_no_text(spark, tmp_path, rules):
+    root = tmp_path / "E" / "voice"
+    root.mkdir(parents=True)
+    (root / "a.txt").write_bytes(b"gemini caf\xe9")
+    (root / "b.json").write_bytes(b'{"text": "claude \xe9"}')
+    (root / "c.json").write_bytes(b'{"prompt": "\xff", "size": 1')
+    found = files.read_transcripts(spark, str(tmp_path))
+    assert {r.name: r.text for r in found.collect()}["a.txt"] == "gemini caf\ufffd"
+    assert content.classify_transcripts(found).where("platform = 'Gemini'").count() == 1
+    inventory = files.file_inventory(spark, str(tmp_path), content=True)
+    assert content.detect_assets(inventory).count() == 0
+    assert files.with_text(inventory).where("name = 'a.txt'").first().text == "gemini caf\ufffd"
 
 
 def test_tool_inventory_file(spark, tmp_path):

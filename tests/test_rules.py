@@ -116,6 +116,16 @@ def test_keys_are_redacted(spark):
     got = [(r.redacted, r.platform) for r in hits.memory_keys(df, "source", "text").orderBy("redacted").collect()]
     assert got == [("AIzabbbb...bbbb", "Gemini"), (key[:8] + "..." + key[-4:], "ChatGPT")]
     assert df.select(hits.redact_text(F.col("text"))).first()[0].startswith("x [REDACTED_TOKEN] y [REDACTED_TOKEN]")
+    many = [f"sk-abcde{n:02d}{'x' * 20}zzzz" for n in range(15)]
+    df = spark.createDataFrame([("s", " ".join(many))], "source string, text string")
+    assert hits.memory_keys(df, "source", "text").count() == 15
+    assert hits.memory_keys(df, "source", "text", most=10).count() == 10
+
+
+def test_long_cells_stay_apart(spark, rules):
+    long = "https://claude.ai/" + "a" * 200
+    df = spark.createDataFrame([(long + "1", 1), (long + "2", 2), (long + "1", 3), ("short", 4)], "c string, n int")
+    assert {r.cell for r in visits.scan_table(df, "t", rules).collect()} == {long + "1", long + "2"}
 
 
 def test_default_rules_are_stable():
