@@ -74,26 +74,27 @@ def hourly_cube(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def session_numbers(cube: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``session_no`` per ``keys``: a new session starts after a gap of more than two hours.
+def number_hours(hours: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``session_no`` to one row per (``keys``, hour) with min_at and max_at: a new session starts after a gap of
+    more than two hours.
 
-    Rows without time belong to the first session.  The window runs over hours
-    of a key, so its size is bounded by the time span, not by the artifacts.
+    Rows without time belong to the first session.  The window runs over hours of a key, so its size is bounded by the
+    time span, not by the artifacts.
     """
-    number = F.unix_seconds("hour")
-    by_hour = Window.partitionBy(*keys).orderBy("hour_no")
-    before = F.max("max_at").over(by_hour.rangeBetween(Window.unboundedPreceding, -1))
-    start = F.min("min_at").over(by_hour.rangeBetween(0, 0))
-    rows = cube.withColumn("hour_no", number).withColumn("before", before).withColumn("start", start)
-    first_of_hour = ~F.lag("hour_no").over(by_hour).eqNullSafe(F.col("hour_no"))
-    breaks = F.coalesce(first_of_hour & (F.col("start") - F.col("before") > GAP_MICROS), F.lit(False))
-    # Same partitions and order as above, so the rows are not sorted again and the first row of an hour stays first.
+    by_hour = Window.partitionBy(*keys).orderBy("hour")
+    before = F.max("max_at").over(by_hour.rowsBetween(Window.unboundedPreceding, -1))
+    breaks = F.coalesce((F.col("min_at") - before > GAP_MICROS).cast("int"), F.lit(0))
     running = by_hour.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumn("breaks", breaks.cast("int"))
-        .withColumn("session_no", F.sum("breaks").over(running) + 1)
-        .drop("hour_no", "before", "start", "breaks")
-    )
+    return hours.withColumn("breaks", breaks).withColumn("session_no", F.sum("breaks").over(running) + 1).drop("breaks")
+
+
+def session_numbers(cube: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``session_no`` per ``keys`` to cube rows, which hold each hour once per combination of the closed lists."""
+    hours = cube.groupBy(*keys, "hour").agg(F.min("min_at").alias("min_at"), F.max("max_at").alias("max_at"))
+    numbered = number_hours(hours, keys).select(
+        *[F.col(k).alias(f"of_{k}") for k in [*keys, "hour"]], "session_no")
+    same = [cube[k].eqNullSafe(numbered[f"of_{k}"]) for k in [*keys, "hour"]]
+    return cube.join(numbered, same).drop(*[f"of_{k}" for k in [*keys, "hour"]])
 
 
 def most_frequent(counts: Column, value: str, first: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from footmark.functions import fixed_values as V
 from footmark.functions.matching import distinct
 from footmark.operators.cube import (
-    DIMENSIONS, NO_TIME, evidence_letter, hourly_cube, most_frequent, session_numbers)
+    DIMENSIONS, NO_TIME, evidence_letter, most_frequent, number_hours, session_numbers)
 from footmark.operators.spread import join_back, with_salt
 
 KEYS = ["case_id", "suspected_platform", "user_profile"]
@@ -184,9 +184,9 @@ def episode_remarks(episodes: DataFrame) -> DataFrame:
     })
 
 
-def episodes(artifacts: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Scored artifacts to episodes with all derived columns."""
-    return episode_remarks(episode_confidence(episode_facts(hourly_cube(artifacts)), coverage))
+def episodes(cube: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The hourly cube to episodes with all derived columns."""
+    return episode_remarks(episode_confidence(episode_facts(cube), coverage))
 
 
 def episode_sessions(artifacts: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def episode_sessions(artifacts: DataFrame) -> DataFrame:
         F.min(F.unix_micros("ts")).alias("min_at"), F.max(F.unix_micros("ts")).alias("max_at"))
     hours = per_salt.groupBy(*KEYS, "hour").agg(
         F.min("min_at").alias("min_at"), F.max("max_at").alias("max_at"), F.collect_set("salt").alias("salts"))
-    numbered = session_numbers(hours, KEYS).select(*KEYS, "hour", "session_no", "salts")
+    numbered = number_hours(hours, KEYS).select(*KEYS, "hour", "session_no", "salts")
     return join_back(rows, numbered, [*KEYS, "hour"]).drop("hour", "salt")
 
 
@@ -219,7 +219,7 @@ def promote_claims(artifacts: DataFrame, episode_rows: DataFrame) -> DataFrame:
         F.min(F.unix_micros("ts")).alias("min_at"), F.max(F.unix_micros("ts")).alias("max_at"))
     hours = per_salt.groupBy(*KEYS, "hour").agg(
         F.min("min_at").alias("min_at"), F.max("max_at").alias("max_at"), F.collect_set("salt").alias("salts"))
-    levels = session_numbers(hours, KEYS).join(
+    levels = number_hours(hours, KEYS).join(
         episode_rows.select(*EPISODE, "claim_rank"), EPISODE).select(*KEYS, "hour", "claim_rank", "salts")
     joined = join_back(rows, levels, [*KEYS, "hour"])
     return joined.withColumn("claim_level", claim_name(F.coalesce("claim_rank", F.lit(1)))).drop(

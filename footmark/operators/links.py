@@ -85,13 +85,17 @@ def family_links(artifacts: DataFrame) -> DataFrame:
 
 def link(artifacts: DataFrame) -> DataFrame:
     """Both sorts of links: those of the hour first, then those across families that are not among them."""
-    rows = with_salt(artifacts.withColumn("hour", F.date_trunc("hour", "ts")))
-    # Both sorts of heads come from the plain rows, not from rows that were already joined.
+    # Slim rows go through both joins; whole rows are joined once, with their links.
+    slim = artifacts.select("case_id", "suspected_platform", "record_id", "seq", "artifact_family",
+                            F.date_trunc("hour", "ts").alias("hour"))
+    rows = with_salt(slim)
     by_hour = join_back(rows, hourly_heads(rows), ["case_id", "suspected_platform", "hour"])
     both = join_back(by_hour, platform_heads(rows), ["case_id", "suspected_platform"])
-    return both.withColumn("links", F.array_union(
-        _others(F.col("heads"), HOUR_LINKS), _others(F.col("platform_heads"), FAMILY_LINKS))).drop(
-        "heads", "platform_heads", "hour", "salt")
+    found = both.select("record_id", F.col("seq").alias("linked_seq"), F.array_union(
+        _others(F.col("heads"), HOUR_LINKS), _others(F.col("platform_heads"), FAMILY_LINKS)).alias("links"))
+    # A record has one row per sequence number; without numbers the id alone names it.
+    same = (artifacts["record_id"] == found["record_id"]) & artifacts["seq"].eqNullSafe(found["linked_seq"])
+    return artifacts.join(found, same, "left").select(artifacts["*"], "links")
 
 
 def link_families(links: Column) -> Column:

@@ -37,15 +37,21 @@ def case_sessions(timed: DataFrame) -> DataFrame:
         F.max("hi").over(session).alias("last_place"), F.sum("n").over(session).alias("session_size"))
 
 
-def timeline(artifacts: DataFrame) -> DataFrame:
+def timeline(artifacts: DataFrame, plain: DataFrame | None = None) -> DataFrame:
     """Timed artifacts as events; sort by ``ts``, ``seq`` where they are written.
 
     ``[Session n Start]`` marks the first event of a session and ``[Session n
     End]`` its last one.  Both confidences are given: the extractor's, which the
-    event list shows, and the scored one.
+    event list shows, and the scored one.  Sessions need only case, time and
+    ``seq``: ``plain`` gives the artifacts before they were scored, so that the
+    chain behind ``artifacts`` is not run for them a second time.
     """
-    timed = with_salt(artifacts.where(F.col("ts").isNotNull()).withColumn("hour", F.date_trunc("hour", "ts")))
-    joined = join_back(timed, case_sessions(timed), ["case_id", "hour"])
+    def salted(df: DataFrame) -> DataFrame:
+        return with_salt(df.where(F.col("ts").isNotNull()).withColumn("hour", F.date_trunc("hour", "ts")))
+
+    timed = salted(artifacts)
+    sessions = case_sessions(timed if plain is None else salted(plain.select("case_id", "record_id", "ts", "seq")))
+    joined = join_back(timed, sessions, ["case_id", "hour"])
     place = F.struct(F.unix_micros("ts").alias("at"), "seq")
     number = F.col("session_no").cast("string")
     mark = (

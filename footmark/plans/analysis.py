@@ -16,14 +16,21 @@ def with_seq(artifacts: DataFrame) -> DataFrame:
 
     Numbers are counted inside small buckets (hour, first three letters of the
     id) and shifted by a running sum over bucket counts, so no task sees a case
-    as a whole.
+    as a whole: hours of a case are summed in one window, parts of an hour in another.
     """
     rows = artifacts.withColumn("hour", F.date_trunc("hour", "ts")).withColumn("part", F.substring("record_id", 1, 3))
     keys = ["case_id", "hour", "part"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("case_id").orderBy(F.col("hour").asc_nulls_last(), "part")
-    before = counts.select(*keys, F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                           .alias("before"))
+
+    def earlier(window):
+        return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    hours = counts.groupBy("case_id", "hour").agg(F.sum("n").alias("n")).select(
+        F.col("case_id").alias("of_case"), F.col("hour").alias("of_hour"),
+        earlier(Window.partitionBy("case_id").orderBy(F.col("hour").asc_nulls_last())).alias("hours_before"))
+    within = counts.withColumn("parts_before", earlier(Window.partitionBy("case_id", "hour").orderBy("part")))
+    before = within.join(hours, within["case_id"].eqNullSafe(hours["of_case"]) & within["hour"].eqNullSafe(hours["of_hour"])).select(
+        *keys, (F.col("hours_before") + F.col("parts_before")).alias("before"))
     inside = rows.withColumn("inside", F.row_number().over(Window.partitionBy(*keys).orderBy("record_id")))
     same = [inside[k].eqNullSafe(before[k]) for k in keys]
     joined = inside.join(before, same).select(

@@ -7,6 +7,7 @@ output is written on its own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from footmark.functions.rules import RuleBook
 from footmark.operators import content, exports, traces, visits
 from footmark.operators.artifacts import ARTIFACT_SCHEMA, union_artifacts
+from footmark.sources.sinks import shared_folder
 
 Inputs = dict[str, DataFrame]
 RUN_SCHEMA = "extractor string, version string, status string, artifacts bigint, message string"
@@ -47,6 +49,7 @@ class Registry:
                 case_os: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Artifacts of all extractors, and one row per extractor on how it went."""
         parts, runs = [], []
+        folder = f"{shared_folder(spark, folder)}/run-{uuid.uuid4().hex}"  # runs that share a folder keep apart
         for e in self.extractors.values():
             if not all(n in inputs for n in e.needs):
                 runs.append((e.name, e.version, "Skipped", 0, "input missing"))

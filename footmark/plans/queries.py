@@ -55,8 +55,18 @@ def hours(spark: SparkSession, d: str) -> DataFrame:
     return cube.hourly_cube(scored(spark, d))
 
 
+def plain(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts for results that show no score: neither links nor caps are computed."""
+    return enriched(spark, d).withColumn("confidence", F.col("initial_confidence"))
+
+
+def counted_hours(spark: SparkSession, d: str) -> DataFrame:
+    """The cube for results that show no score."""
+    return cube.hourly_cube(plain(spark, d))
+
+
 def all_episodes(spark: SparkSession, d: str) -> DataFrame:
-    return episodes.episodes(scored(spark, d), B.coverage(spark, d))
+    return episodes.episodes(counted_hours(spark, d), B.coverage(spark, d))
 
 
 # --- sources -------------------------------------------------------------------
@@ -609,7 +619,7 @@ def platform_usage(spark, d):
 
 @query
 def platform_summaries(spark, d):
-    rows = reports.platform_summary(hours(spark, d))
+    rows = reports.platform_summary(counted_hours(spark, d))
     return rows.withColumns({"families": joined("families"), "access_modes": joined("access_modes")})
 
 
@@ -628,7 +638,7 @@ def episode_members(spark, d):
 
 @query
 def episode_facts(spark, d):
-    rows = episodes.episode_facts(hours(spark, d))
+    rows = episodes.episode_facts(counted_hours(spark, d))
     return rows.select(
         "case_id", "suspected_platform", "user_profile", big("session_no"), "artifacts", "direct", "inferred", "timed",
         "families", "source_classes", "start_us", "end_us", "model", "access_mode", "activity", "image_review",
@@ -653,8 +663,7 @@ def episode_remarks(spark, d):
 
 @query
 def artifact_claims(spark, d):
-    rows = scored(spark, d)
-    promoted = episodes.promote_claims(rows, episodes.episodes(rows, B.coverage(spark, d)))
+    promoted = episodes.promote_claims(plain(spark, d), all_episodes(spark, d))
     return promoted.select("record_id", "claim_level")
 
 
@@ -665,13 +674,13 @@ def confidence_classes(spark, d):
 
 @query
 def case_timeline(spark, d):
-    return timeline.timeline(scored(spark, d)).select(
+    return timeline.timeline(scored(spark, d), B.artifacts(spark, d)).select(
         "case_id", "record_id", us("ts"), "event_type", "description", "initial_confidence", "confidence")
 
 
 @query
 def first_timeline_events(spark, d):
-    rows = timeline.first_events(timeline.timeline(scored(spark, d)))
+    rows = timeline.first_events(timeline.timeline(plain(spark, d)))
     return rows.select("case_id", big("row_no"), "record_id", "event_type")
 
 
@@ -698,26 +707,25 @@ def comparison_matrix(spark, d):
 
 @query
 def exhibits(spark, d):
-    return reports.exhibits(scored(spark, d)).select(
+    return reports.exhibits(plain(spark, d)).select(
         "case_id", big("exhibit_no"), "record_id", "title", "description", "exhibit_time")
 
 
 @query
 def first_exhibits(spark, d):
-    rows = reports.first_exhibits(reports.exhibits(scored(spark, d)))
+    rows = reports.first_exhibits(reports.exhibits(plain(spark, d)))
     return rows.select("case_id", "suspected_platform", big("exhibit_no"), "record_id")
 
 
 @query
 def image_findings(spark, d):
-    rows = scored(spark, d)
-    return reports.image_findings(rows, reports.exhibits(rows)).select(
+    return reports.image_findings(scored(spark, d), reports.exhibits(plain(spark, d))).select(
         "record_id", "finding", "confidence", big("exhibit_no"))
 
 
 @query
 def event_exhibits(spark, d):
-    rows = scored(spark, d)
+    rows = plain(spark, d)
     found = reports.event_exhibits(timeline.timeline(rows), reports.exhibits(rows))
     return found.select("record_id", us("ts"), big("exhibit_no"))
 
@@ -731,7 +739,7 @@ def exhibit_hashes(spark, d):
 
 @query
 def case_totals(spark, d):
-    return reports.case_totals(hours(spark, d))
+    return reports.case_totals(counted_hours(spark, d))
 
 
 @query
@@ -746,21 +754,19 @@ def top_confidence(spark, d):
 
 @query
 def coverage_rollup(spark, d):
-    rows = reports.coverage_rollup(B.runs(spark, d), hours(spark, d), B.coverage(spark, d))
+    rows = reports.coverage_rollup(B.runs(spark, d), counted_hours(spark, d), B.coverage(spark, d))
     return rows.select("case_id", "image_type", *[joined(c) for c in (
         "succeeded", "failed", "not_applicable", "stubs", "families_found", "families_missing", "limitations")])
 
 
 @query
 def requirement_status(spark, d):
-    rows = scored(spark, d)
-    found = episodes.episodes(rows, B.coverage(spark, d))
-    return reports.requirement_status(cube.hourly_cube(rows), found)
+    return reports.requirement_status(counted_hours(spark, d), all_episodes(spark, d))
 
 
 @query
 def governance_facts(spark, d):
-    built = hours(spark, d)
+    built = counted_hours(spark, d)
     cover = B.coverage(spark, d)
     rolled = reports.coverage_rollup(B.runs(spark, d), built, cover).select("case_id", "families_missing")
     rows = reports.governance_facts(built, cover.join(rolled, "case_id"))
@@ -776,7 +782,7 @@ def drift_register(spark, d):
 
 @query
 def platform_blind_spots(spark, d):
-    return reports.platform_blind_spots(hours(spark, d), reports.blind_spots(spark))
+    return reports.platform_blind_spots(counted_hours(spark, d), reports.blind_spots(spark))
 
 
 @query
@@ -788,7 +794,7 @@ def capability_features(spark, d):
 
 @query
 def tamper_counts(spark, d):
-    return reports.tamper_counts(hours(spark, d))
+    return reports.tamper_counts(counted_hours(spark, d))
 
 
 @query

@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from footmark.operators.usage import replace_by_key
 
 
-def write_results(tables: dict[str, DataFrame], root: str, keys: dict[str, tuple[list[str], str]] | None = None) -> None:
+def write_results(tables: dict[str, DataFrame], root: str, keys: dict[str, tuple[list[str], str]] | None = None,
+                  files: int = 16) -> None:
     """Result tables as parquet by case; cases that are written replace their earlier rows.
 
+    A hash of the row deals each case to at most ``files`` tasks, so a case with much of a table is written by several
+    and small cases do not get a file from every task.
+
     ``keys`` names (key columns, version column) of tables that may hold several
-    versions of a row: the latest one is kept.  A hash of the key spreads a big
-    case over several files.
+    versions of a row: the latest one is kept.
     """
     for name, df in tables.items():
         if keys and name in keys:
             key, version = keys[name]
             df = replace_by_key(df, key, version)
+        plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "array", "struct")]
+        df = df.repartition("case_id", F.pmod(F.xxhash64(*plain), F.lit(files)))
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id")
          .parquet(f"{root}/{name}"))
 
@@ -67,6 +72,16 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder in spark.checkpoint.dir, else ``folder``; a cluster's executors must be able to share it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or folder
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a shared folder, or pass one")
+    if root.startswith("file:") and root == folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{root} is a folder of one machine")
+    return root
+
+
 def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes a table once and reads it back, so that what follows does not depend on lost executors.
 
@@ -74,9 +89,6 @@ def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     that is not set, ``folder`` must name one.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or folder
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a shared folder, or pass one")
-    path = f"{root}/footmark-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark, folder)}/footmark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -148,7 +148,7 @@ def test_source_class_is_always_overwritten_and_the_others_only_when_unknown(spa
 
 
 def episode_rows(spark, rows, image="Full Disk Image"):
-    return episodes.episodes(scored(spark, rows, image), coverage(spark, image)).collect()
+    return episodes.episodes(cube.hourly_cube(scored(spark, rows, image)), coverage(spark, image)).collect()
 
 
 def test_one_artifact_episode_ends_at_level_two(spark):
@@ -202,7 +202,7 @@ def test_members_partition_the_known_artifacts(spark):
 def test_claims_follow_the_episode(spark):
     rows = random_rows(12, 150)
     found = scored(spark, rows)
-    eps = episodes.episodes(found, coverage(spark))
+    eps = episodes.episodes(cube.hourly_cube(found), coverage(spark))
     got = {r.record_id: r.claim_level for r in episodes.promote_claims(found, eps).collect()}
     rank = {(r.suspected_platform, r.user_profile, r.session_no): r.claim_rank for r in eps.collect()}
     session = brute_sessions(rows)
