@@ -95,7 +95,7 @@ class Lines(HTMLParser):
         elif tag not in ("body", "html"):
             skipped = (skipped or tag in SKIPPED or tag == "header" or role in BOILERPLATE_ROLES
                        or bool(BOILERPLATE & set(names)) and tag not in ("article", "main"))
-        if tag in REGIONS and not (article and not skipped and not said):
+        if tag in REGIONS and not (article and not said):
             region = len(self.marked)
             self.marked.append(said and not skipped)
         self.open.append((tag, region, skipped, article or said and not skipped))
@@ -112,6 +112,8 @@ class Lines(HTMLParser):
             self.begin()
 
     def handle_data(self, data):
+        if self.open and self.open[-1][2] and not self.line.skipped:
+            return  # a script or button within a block that counts
         self.line.parts.append(data)
         if self.links:
             self.line.linked += len(data)

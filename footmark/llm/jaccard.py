@@ -177,14 +177,16 @@ def node_links(nodes: DataFrame) -> DataFrame:
 
 def tiles(rows: DataFrame, size: str, most: int, key: str, *members: str) -> DataFrame:
     """Each group of more than ``most`` rows becomes pairs of tiles of about ``most`` rows; a row goes to the pairs of
-    its tile.  Adds ``tile`` (0 for the first tile of a pair, 1 for the second) and makes ``key`` that of the pair."""
+    its tile.  Adds ``group`` (the pair), ``tile`` (0 for the first tile of a pair, 1 for the second), ``tiled``, and
+    ``within`` (the pair is one tile with itself)."""
     n = F.ceil(F.col(size) / F.lit(most)).cast("int")
     own = F.pmod(F.xxhash64("set_id", F.lit(1)), n).cast("int")
     pairs = F.when(n == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
         F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y"))))
     out = rows.withColumn("own", own).withColumn("pair", F.explode(pairs))
     return out.select(F.xxhash64(key, "pair").alias("group"), *([key] if key not in members else []), *members,
-                      F.when(F.col("own") == F.col("pair.x"), 0).otherwise(1).alias("tile"), (n > 1).alias("tiled"))
+                      F.when(F.col("own") == F.col("pair.x"), 0).otherwise(1).alias("tile"), (n > 1).alias("tiled"),
+                      (F.col("pair.x") == F.col("pair.y")).alias("within"))
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float, depth: int) -> DataFrame:
@@ -231,10 +233,8 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
 
 
 # --- verification ----------------------------------------------------------------------------------------------
-def shared_tokens(sets: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets of side 0 with those of side 1 (with each other, if there is no side 1)."""
-    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    right = right if len(right) else left
+def shared_tokens(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left sets with the right ones."""
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     tokens, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     kept = np.cumsum(count > 1) - 1
@@ -259,22 +259,21 @@ def verified(groups: DataFrame, threshold: float) -> DataFrame:
         for batch in whole_runs(batches, "group"):
             group, ids = batch.column("group").to_numpy(), batch.column("set_id").to_numpy()
             doc, copies = batch.column("doc").to_numpy(), batch.column("copies").to_numpy()
-            tile, tiled = batch.column("tile").to_numpy(), batch.column("tiled").to_pylist()
+            tile, tiled, within = batch.column("tile").to_numpy(), batch.column("tiled").to_pylist(), batch.column("within").to_pylist()
             edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
             for a, b in zip(edge[:-1], edge[1:]):
                 own = np.unique(ids[a:b], return_index=True)[1] + a  # once each, should rows repeat
                 sets = [np.frombuffer(batch.column("tokens")[i].as_py(), np.uint64) for i in own.tolist()]
-                yield links_of(ids[own], doc[own], copies[own], sets, tile[own], tiled[a], threshold)
+                yield links_of(ids[own], doc[own], copies[own], sets, tile[own], tiled[a], within[a], threshold)
 
     return arrow_map(groups, work, "kind int, set_id long, label long, links long")
 
 
-def links_of(ids, doc, copies, sets, tile, tiled: bool, threshold: float) -> dict:
+def links_of(ids, doc, copies, sets, tile, tiled: bool, within: bool, threshold: float) -> dict:
     size = np.array([len(s) for s in sets], np.float32)
-    common = shared_tokens(sets, tile)
-    left, right = np.flatnonzero(tile == 0), np.flatnonzero(tile == 1)
-    within = not len(right)
-    right = left if within else right
+    left = np.flatnonzero(tile == 0)
+    right = left if within else np.flatnonzero(tile == 1)
+    common = shared_tokens(sets, left, right)
     linked = common >= threshold * (size[left, None] + size[None, right] - common) - 1e-4
     if within:
         np.fill_diagonal(linked, False)
