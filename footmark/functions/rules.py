@@ -79,9 +79,6 @@ def default_rules() -> RuleBook:
 
     for kind, table in catalogue.SIMPLE_KINDS.items():
         add(kind, [(p, s) for p in catalogue.PLATFORMS for s in table.get(p, [])])
-    for kind in ("app_dir", "app_dir_mac", "registry_key", "prefetch"):
-        add(kind, [(p, s) for p in catalogue.PLATFORMS
-                   for s in catalogue.install_places(p)[kind]])
     named = [(p, s, m) for p in catalogue.PLATFORMS
              for m, strings in catalogue.MODEL_STRINGS.get(p, {}).items() for s in strings]
     add("model", [(p, s) for p, s, _ in named], [m for _, _, m in named])
