@@ -196,7 +196,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float, depth: int)
     level, found = split(classes, rate, runs), None
     for d in range(1, depth + 1):
         sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        nodes = stage(level.join(sizes, "path").join(classes, "set_id"), f"nodes-{d}")
+        nodes = stage(level.join(sizes.hint("merge"), "path").join(classes.hint("merge"), "set_id"), f"nodes-{d}")
         most = SMALL if d < depth else 1 << 62
         links = node_links(nodes.where(F.col("n") <= most).select("path", "set_id", "sig", "n").transform(dense).repartition("path")
                            .sortWithinPartitions("path"))
@@ -316,7 +316,8 @@ def join_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
             yield {**{c: part.column(c) for c in ("label", "n", "set_id", "doc", "copies")},
                    "tokens": [s.tobytes() for s, k in zip(rows, keep.to_pylist()) if k]}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc")  # repeated rows meet in their group
+    # A merge join at every size: the wanted classes grow with the documents.  Repeated rows meet in their group.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc")
     told = arrow_map(texts.select("label", "n", "set_id", "doc", "copies", "text"), tokens,
                      "label long, n long, set_id long, doc long, copies long, tokens binary")
     groups = tiles(told, "n", TILE, "label", "set_id", "doc", "copies", "tokens")
