@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footmark.functions.rules import RuleBook
-from footmark.operators import content, exports, traces, visits
+from footmark.operators import content, evidence, exports, hits, traces, visits
 from footmark.operators.artifacts import ARTIFACT_SCHEMA, union_artifacts
 from footmark.sources.sinks import shared_folder
 
@@ -70,6 +70,9 @@ class Registry:
         return every, spark.createDataFrame(runs, RUN_SCHEMA)
 
 
+#: Logcat lines carry no year; own registrations name another.
+LOGCAT_YEAR = 2024
+
 DEFAULT = Registry()
 register = DEFAULT.register
 register("VisitExtractor", ("visits",))(lambda i, r: visits.visit_artifacts(i["visits"], r))
@@ -101,3 +104,31 @@ register("DeletedFileExtractor", ("deleted_files",), systems=("Windows",))(
 register("PackageExtractor", ("packages",), systems=("Android",))(
     lambda i, r: traces.package_artifacts(i["packages"], r))
 register("TranscriptExtractor", ("transcripts",))(lambda i, r: content.transcript_artifacts(i["transcripts"]))
+register("LogcatExtractor", ("logcat",), systems=("Android",))(
+    lambda i, r: traces.log_artifacts(i["logcat"], r, "logcat", year=LOGCAT_YEAR))
+register("SubkeyExtractor", ("registry_subkeys",), systems=("Windows",))(
+    lambda i, r: evidence.subkey_artifacts(i["registry_subkeys"], r))
+register("FolderKeyExtractor", ("folder_keys",), systems=("Windows",))(
+    lambda i, r: evidence.subkey_artifacts(i["folder_keys"], r, folders=True))
+register("InstallExtractor", ("installs",), systems=("Windows",))(lambda i, r: evidence.install_artifacts(i["installs"], r))
+register("RegisteredAppExtractor", ("registered_apps",), systems=("Windows",))(
+    lambda i, r: evidence.registered_artifacts(i["registered_apps"], r))
+register("KnownKeyExtractor", ("registry_keys",), systems=("Windows",))(
+    lambda i, r: evidence.known_key_artifacts(i["registry_keys"], r))
+register("PlistExtractor", ("plist_values",), systems=("macOS",))(lambda i, r: evidence.plist_artifacts(i["plist_values"], r))
+register("AppUsageExtractor", ("app_usage",), systems=("iPhone", "Android"))(
+    lambda i, r: evidence.usage_artifacts(i["app_usage"], r))
+register("AppTrafficExtractor", ("app_traffic",), systems=("iPhone",))(
+    lambda i, r: evidence.traffic_artifacts(i["app_traffic"], r))
+register("MemoryExtractor", ("memory_texts",))(lambda i, r: evidence.memory_artifacts(i["memory_texts"], r))
+register("NetworkExtractor", ("network_texts",))(lambda i, r: evidence.memory_artifacts(i["network_texts"], r, network=True))
+register("ManifestExtractor", ("manifests",))(lambda i, r: evidence.manifest_artifacts(i["manifests"]))
+register("ExtensionExtractor", ("extensions",))(lambda i, r: evidence.extension_artifacts(i["extensions"]))
+register("AddonExtractor", ("addons",))(lambda i, r: evidence.addon_artifacts(i["addons"]))
+register("HistoryGapDetector", ("visits",))(lambda i, r: evidence.gap_artifacts(evidence.timed_visits(i["visits"])))
+register("FutureStampDetector", ("visits",))(
+    lambda i, r: evidence.future_stamp_artifacts(evidence.timed_visits(i["visits"]), F.current_timestamp()))
+register("StrippedImageDetector", ("binary_files",))(lambda i, r: evidence.stripped_image_artifacts(i["binary_files"]))
+register("HitExtractor", ("raw_texts",))(
+    lambda i, r: hits.hit_artifacts(hits.scan_hits(i["raw_texts"], "text", hits.hit_patterns())))
+register("BlobExtractor", ("blobs",))(lambda i, r: hits.blob_artifacts(i["blobs"]))
