@@ -20,7 +20,8 @@ from footmark.session import local_session  # noqa: E402
 HEADLINE = [
     "platform_usage", "visits_by_platform", "downloads_by_platform", "content_remnants", "unified_log_hits", "hit_counts",
     "hit_offsets", "first_rule_hits", "export_replay", "all_links", "final_confidence", "episode_levels", "artifact_claims",
-    "case_timeline", "comparison_matrix", "exhibits", "case_totals", "requirement_status", "tool_checklist", "history_gaps",
+    "case_timeline", "comparison_matrix", "exhibits", "image_findings", "event_exhibits", "case_totals", "requirement_status",
+    "tool_checklist", "history_gaps",
 ]
 
 

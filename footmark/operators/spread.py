@@ -3,7 +3,7 @@
 Rows get a salt from a hash of their id.  Group facts are first aggregated per
 (group, salt), which also tells which salts a group really has; after the facts
 are final they are handed back once per salt.  A group of any size is so spread
-over ``SALTS`` tasks, small groups are not copied more often than they have
+over as many tasks as the session's shuffles have partitions, small groups are not copied more often than they have
 rows, and nothing needs to be known about the keys beforehand.
 """
 
@@ -12,16 +12,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
+LEAST_SALTS = 64
 
 
-def salt_of(row_id: str = "record_id", salts: int = SALTS) -> Column:
-    """Which of the parts of its group a row belongs to; the same in every run."""
-    return F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+def with_salt(df: DataFrame, row_id: str = "record_id", salts: int | None = None) -> DataFrame:
+    """Adds which of the parts of its group a row belongs to.
+
+    There are as many parts as shuffle partitions, which follow the size of the data and of the cluster: a group with a
+    third of all rows is then no larger per part than a partition.
+    """
+    parts = salts or max(LEAST_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int"))
 
 
-def with_salt(df: DataFrame, row_id: str = "record_id", salts: int = SALTS) -> DataFrame:
-    return df.withColumn("salt", salt_of(row_id, salts))
+def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A table to be sent to all tasks, if a count shows that it has at most ``most`` rows; else it is joined as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def join_back(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footmark.functions import fixed_values as V
 from footmark.functions.matching import distinct
 from footmark.operators.content import evidence_class
+from footmark.operators.spread import small_side
 
 FOUND, NOT_FOUND, NOT_VERIFIED = "FOUND", "NOT_FOUND", "NOT_VERIFIED"
 
@@ -52,7 +53,8 @@ def expand_tool_paths(paths: DataFrame, profiles: DataFrame, case_os: DataFrame)
     # Variables are filled in once per template; only the user differs from case to case.
     ready = paths.withColumn("place", F.ltrim(F.when(F.col("os") == "Windows", windows).otherwise(posix), F.lit("/")))
     users = case_os.join(profiles, "case_id", "left").withColumn("user", F.coalesce("user_profile", F.lit("*")))
-    rows = users.join(ready, "os").withColumn("candidate", F.replace("place", F.lit("{user}"), F.col("user")))
+    # An operating system is a key of a handful of values: the inventory goes to the tasks, unless it is large.
+    rows = users.join(small_side(ready), "os").withColumn("candidate", F.replace("place", F.lit("{user}"), F.col("user")))
     return rows.groupBy("case_id", "tool_id", "candidate").agg(F.min("ord").alias("ord"))
 
 
@@ -170,7 +172,7 @@ def checklist(tools: DataFrame, case_os: DataFrame, profiles: DataFrame, invento
         distinct(evidence_class(F.col("path"))).alias("class_count"))
     # Every case gets every tool: the inventory is keyed by all systems a case can have.
     systems = F.array(*[F.lit(x) for x in ("Windows", "macOS", "Linux", "iPhone", "Android", V.UNKNOWN)])
-    every = case_os.join(described.withColumn("os", F.explode(systems)), "os")
+    every = case_os.join(small_side(described.withColumn("os", F.explode(systems))), "os")
     has_templates = F.size(F.coalesce(F.element_at("artifact_path_candidates", F.col("os")), F.array().cast("array<string>"))) > 0
     supported = F.array_contains("platform_supported", F.col("os")) | (F.col("os") == V.UNKNOWN)
     looked_for = supported & has_templates
