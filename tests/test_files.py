@@ -61,12 +61,25 @@ def test_blob_formats(spark, tree):
 
 
 def test_own_blob_rules(spark, tree, tmp_path):
-    pack = [{"name": "X", "extension": "x", "header_hex": "7878", "footer_hex": "7979", "max_size": 9}]
+    pack = [{"name": "X", "extension": "x", "header_hex": "7878", "footer_hex": "7979", "max_size": 9999}]
     (tmp_path / "pack.json").write_text(json.dumps(pack))
     found = content.sniff_blobs(files.file_inventory(spark, tree, content=True), rule_sources.blob_rules(spark, str(tmp_path / "pack.json")))
     assert [(r.path, r.rule, r.recovery_status) for r in found.collect()] == [("/other.png", "X", "Complete")]
 
 
+def test_blob_rules_in_full(spark, tmp_path):
+    pack = [{"name": "SQLite", "extension": "db", "header_hex": "53514C697465", "validate_internal": True},
+            {"name": "PDF", "extension": "pdf", "header_hex": "2550", "footer_hex": "2525454F46", "validate_internal": True, "max_size": 40},
+            {"name": "ZIP", "extension": "zip", "header_hex": "504B", "validate_internal": True, "min_size": 20}]
+    (tmp_path / "pack.json").write_text(json.dumps(pack))
+    blobs = {"db": b"SQLite format 3\0" + b"x" * 90, "short": b"SQLite format 3\0", "pdf": b"%PDF-1.7 x %%EOF", "open": b"%PDF-1.7 x" + b"y" * 40 + b"%%EOF",
+             "zip": b"PK\x03\x04" + b"x" * 40 + b"PK\x05\x06" + b"c" * 999, "cut": b"PK\x03\x04" + b"x" * 40, "tiny": b"PK\x03\x04"}
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b in blobs.items()], "name string, content binary")
+    got = {r.name: (r.rule, r.validation, r.recovery_status) for r in content.sniff_blobs(df, rule_sources.blob_rules(spark, str(tmp_path / "pack.json"))).collect()}
+    assert got == {"db": ("SQLite", "Valid", "Partial"), "short": ("SQLite", "Header Only", "Partial"), "pdf": ("PDF", "Valid", "Complete"),
+                   "open": ("PDF", "Partial Structure", "Partial"), "zip": ("ZIP", "Valid", "Partial"), "cut": ("ZIP", "Partial Structure", "Partial")}
+
+
 def test_generated_assets(spark, tree):
     rows = content.detect_assets(files.file_inventory(spark, tree, content=True)).collect()
     got = {r.path: (r.method, r.asset_type, r.platform) for r in rows}
