@@ -96,7 +96,7 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = 300, max_languages: int = 100, clusters: int = 4,
-        slack: float = 0.5) -> Model:
+        slack: float = 0.25) -> Model:
     """Learns from (doc_id, text, lang).  A text farther than 1 - slack * (the 0.1 % quantile of the training
     cosines, scaled to length) is rejected."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
