@@ -45,7 +45,7 @@ class WordIds:
     where a token ends a word.  Other words are encoded one by one.  At most ``most`` words are kept.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 80_000):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         self.tokenizer, self.most = Tokenizer.from_file(path), most

@@ -55,7 +55,7 @@ class WordHashes(dict):
     """Hashes of words; frequent ones are computed once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
