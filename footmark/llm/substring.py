@@ -103,6 +103,14 @@ def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     return [(int(bucket[part[0]]), part) for part in np.split(order, edge)]
 
 
+class Numbers(dict):
+    """Numbers keys in the order they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class RepeatedPhrases:
     schema = "n_words long, n_removed long, kept_sha256 string, kept string"
 
@@ -157,13 +165,28 @@ class RepeatedPhrases:
         if not payloads:
             return []
         parts = [unpack(p, 4) for p in payloads]
-        size = np.concatenate([np.frombuffer(p[0], np.int32) for p in parts]).astype(np.int64)
-        low, high = (np.concatenate([np.frombuffer(p[i], np.int64) for p in parts]) for i in (1, 2))
-        words: dict[bytes, int] = {}
-        number = words.setdefault
-        texts = [[number(w, len(words) + 1) for w in t.split(b" ")] for p in parts for t in bytes(p[3]).split(b"\n")]
-        flat = np.fromiter((i for t in texts for i in t), np.uint64)
-        begins = np.cumsum(np.r_[0, size + self.n - 1])[:-1]
+        sizes, low, high = (np.concatenate([np.frombuffer(p[i], t) for p in parts]).astype(np.int64)
+                            for i, t in enumerate((np.int32, np.int64, np.int64)))
+        # Passages that several blocks sent are streamed once.
+        distinct = Numbers()
+        which = np.fromiter((distinct[t] for p in parts for t in bytes(p[3]).split(b"\n")), np.int64, len(sizes))
+        size = np.empty(len(distinct), np.int64)
+        size[which] = sizes
+        least, most = np.full(len(distinct), NO_ID), np.full(len(distinct), -NO_ID)
+        np.minimum.at(least, which, low)
+        np.maximum.at(most, which, high)
+        found, edge = self.locate(ahocorasick, list(distinct), size, least, most)
+        begin = np.cumsum(np.r_[0, sizes])
+        step = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
+        reply = found[np.repeat(edge[:-1][which], sizes) + step]
+        return [x.tobytes() for x in np.split(reply, np.cumsum([int(np.frombuffer(p[0], np.int32).sum()) for p in parts])[:-1])]
+
+    def locate(self, ahocorasick, passages: list[bytes], size: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """For each window of each passage the smallest id that holds it, or NO_ID; and where passages begin."""
+        numbers = Numbers({b"": 0})  # an empty word stands between passages
+        words = b"  ".join(passages).split(b" ")
+        flat = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
+        begins = np.cumsum(np.r_[0, size + self.n])[:-1]
         edge = np.cumsum(np.r_[0, size])
         windows = np.arange(edge[-1]) + np.repeat(begins - edge[:-1], size)
         h = hashed_runs(mixed(flat * np.uint64(0xD1342543DE82EF95)), self.n)[windows]
@@ -179,22 +202,20 @@ class RepeatedPhrases:
         cut[edge] = True
         opens = np.flatnonzero(confirmed & (cut[:-1] | ~np.r_[False, confirmed[:-1]]))
         closes = np.flatnonzero(confirmed & (cut[1:] | ~np.r_[confirmed[1:], False])) + 1
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for a, b, passage in zip(opens.tolist(), closes.tolist(), (np.searchsorted(edge, opens, side="right") - 1).tolist()):
-            at = a - int(edge[passage])
-            phrase = tuple(texts[passage][at:at + b - a + self.n - 1])
-            automaton.add_word(phrase, (b - a, a))
         found = np.full(len(h), NO_ID, np.int64)
         if len(opens):
+            text = flat.tolist()
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            for i, (at, k) in enumerate(zip(windows[opens].tolist(), (closes - opens).tolist())):
+                automaton.add_word(tuple(text[at:at + k + self.n - 1]), i)
             automaton.make_automaton()
-            with_phrase = np.unique(np.searchsorted(edge, opens, side="right") - 1)
-            for passage in with_phrase.tolist():
-                base = int(edge[passage]) - self.n + 1
-                for end, (k, source) in automaton.iter(tuple(texts[passage])):
-                    to = base + end + 1
-                    found[to - k:to] = first[source:source + k]
-        shares = np.cumsum([int(np.frombuffer(p[0], np.int32).sum()) for p in parts])[:-1]
-        return [x.tobytes() for x in np.split(found, shares)]
+            ending = np.zeros(len(flat), np.int64)  # the window after that which ends at a word
+            ending[windows + self.n - 1] = np.arange(1, len(h) + 1)
+            ending, source, length = ending.tolist(), opens.tolist(), (closes - opens).tolist()
+            for end, i in automaton.iter(tuple(text)):
+                to, k = ending[end], length[i]
+                found[to - k:to] = first[source[i]:source[i] + k]
+        return found, edge
 
     def finish(self, block, own, replies):
         rows = np.frombuffer(unpack(own, 1)[0], np.int64).reshape(-1, 5)
