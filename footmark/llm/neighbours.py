@@ -41,7 +41,7 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tree:
     """A vantage-point tree over the rows of one shard."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 256):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 512):
         self.ids, self.vectors, self.leaf = ids, vectors, leaf
         norms = np.einsum("ij,ij->i", vectors, vectors)
         self.top = float(norms.max())
@@ -64,9 +64,11 @@ class Tree:
         self.lifted_queries = np.c_[queries, np.zeros(len(queries))]
         self.lengths = np.einsum("ij,ij->i", queries, queries) + self.top
         self.kth = np.full(len(queries), -np.inf)
-        self.found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.near = np.full((len(queries), k), -1, np.int64)  # ids and scores of the nearest so far, best first
+        self.score = np.full((len(queries), k), -np.inf)
         self.visit(self.root, np.arange(len(queries)))
-        return self.found
+        row, place = np.nonzero(self.score > -np.inf)
+        return row, self.near[row, place], self.score[row, place]
 
     def visit(self, node, active: np.ndarray) -> None:
         if not len(active):
@@ -93,15 +95,14 @@ class Tree:
         if not len(q):
             return
         q, c = active[q], rows[c]
-        every = [np.concatenate(x) for x in zip(self.found, (q, self.ids[c], inner(self.queries[q], self.vectors[c])))]
-        order = np.lexsort((every[1], -every[2], every[0]))
-        query, ids, score = (x[order] for x in every)
-        first = np.r_[True, query[1:] != query[:-1]]
-        place = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
-        kept = place < self.k
-        last = place == self.k - 1
-        self.kth[query[last]] = score[last]
-        self.found = query[kept], ids[kept], score[kept]
+        met, own = np.unique(q, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(met)), self.k), own])
+        ids = np.concatenate([self.near[met].ravel(), self.ids[c]])
+        score = np.concatenate([self.score[met].ravel(), inner(self.queries[q], self.vectors[c])])
+        order = np.lexsort((ids, -score, row))
+        best = order[np.searchsorted(row[order], np.arange(len(met)))[:, None] + np.arange(self.k)]
+        self.near[met], self.score[met] = ids[best], score[best]
+        self.kth[met] = self.score[met, -1]
 
 
 def smallest_per_id(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
