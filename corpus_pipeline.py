@@ -39,8 +39,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in a sequence."""
-    return packing.packed_documents(docs, tokenizer_path())
+    """Token pieces with their place in a sequence.  Python workers also hold what earlier stages left: few words are kept."""
+    return packing.packed_documents(docs, tokenizer_path(), words_kept=80_000)
 
 
 STAGES = [("language_id", language_stage), ("jaccard_join", near_copies_stage), ("substring_dedup", substring_stage),

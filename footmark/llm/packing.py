@@ -45,7 +45,7 @@ class WordIds:
     where a token ends a word.  Other words are encoded one by one.  At most ``most`` words are kept.
     """
 
-    def __init__(self, path: str, most: int = 80_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -95,9 +95,9 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int) -> WordIds:
     """One for each process: tasks of a worker share what it has learned."""
-    return WordIds(path)
+    return WordIds(path, most)
 
 
 def split_words(text: str) -> list[str]:
@@ -106,13 +106,17 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, keep_ids: bool = False,
+                 words_kept: int = 300_000) -> DataFrame:
     """One row for each piece of a document's ids followed by ``end_id``: doc_id, piece, start, length, ids_crc32
-    and, on request, the ids as little-endian 32-bit numbers."""
+    and, on request, the ids as little-endian 32-bit numbers.
+
+    ``words_kept`` bounds the words that a Python worker remembers (about 200 bytes each, twice); it changes the speed only.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches):
-        ids = word_ids(tokenizer)
+        ids = word_ids(tokenizer, words_kept)
         for batch in slices(batches, most=2 << 20):
             words = [split_words(t) if t else [] for t in batch.column("text").to_pylist()]
             ids.learn(set().union(*words))
@@ -266,5 +270,7 @@ def pack(pieces: DataFrame, limit: int = 2048, per_bucket: int = 500_000) -> Dat
                          "offset")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, limit: int = 2048, keep_ids: bool = False) -> DataFrame:
-    return pack(stage(token_pieces(docs, tokenizer, limit, keep_ids=keep_ids), "pieces"), limit)
+def packed_documents(docs: DataFrame, tokenizer: str, limit: int = 2048, keep_ids: bool = False,
+                     words_kept: int = 300_000) -> DataFrame:
+    pieces = token_pieces(docs, tokenizer, limit, keep_ids=keep_ids, words_kept=words_kept)
+    return pack(stage(pieces, "pieces"), limit)
