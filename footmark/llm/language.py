@@ -3,8 +3,8 @@
 A text becomes the counts of its letter trigrams (lower case, words padded by one space, every other character a
 word border), hashed into ``DIMS`` buckets, weighted log(1 + count) * idf and scaled to length one.  Each language
 has several centroids, found by spherical k-means, and a text takes the language of the centroid with the largest
-cosine.  A text is rejected if its distance to that centroid is far beyond what the training texts show; short texts
-have few trigrams and are allowed a proportionally larger distance.
+cosine.  A text is rejected if its distance to that centroid is far beyond what the training texts show; texts of few
+distinct trigrams, short ones or a word over and over, are allowed a proportionally larger distance.
 
 Fitting uses a bounded sample: at most about ``per_language`` labelled texts of each language, chosen by a hash of
 the id, and at most ``max_languages`` languages.  Prediction reads whole texts of all rows, and nothing but the text.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from footmark.llm.common import arrow_map, slices
 
 DIMS = 4096
-TYPICAL = 200  # trigrams at which a text counts as half as telling as a long one
+TYPICAL = 200  # distinct trigrams at which a text counts as half as telling as a long one
 
 
 def letter_table() -> np.ndarray:
@@ -74,11 +74,11 @@ class Model:
         near = self.centroids @ self.vector(counts)
         best = int(near.argmax())
         score = float(min(1.0, max(0.0, near[best])))
-        return self.languages[best], score, score < self.reach * expected(counts.sum())
+        return self.languages[best], score, score < self.reach * expected(np.count_nonzero(counts))
 
 
 def expected(n: float) -> float:
-    """Part of a long text's cosine that a text of n trigrams can reach."""
+    """Part of a long text's cosine that a text of n distinct trigrams can reach."""
     return float(np.sqrt(n / (n + TYPICAL)))
 
 
@@ -96,9 +96,9 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = 300, max_languages: int = 100, clusters: int = 4,
-        slack: float = 0.25) -> Model:
+        slack: float = 0.5) -> Model:
     """Learns from (doc_id, text, lang).  A text farther than 1 - slack * (the 0.1 % quantile of the training
-    cosines, scaled to length) is rejected."""
+    cosines, scaled to the number of distinct trigrams) is rejected."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
     if len(sizes) > max_languages:
@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, per_language: int = 300, max_languages: int = 100,
         own = spherical_kmeans(vectors, clusters)
         centroids.append(own)
         model.languages += [lang] * len(own)
-        cosines += [float(c / expected(n)) for c, n in zip((vectors @ own.T).max(axis=1), np.array(counts).sum(axis=1))]
+        cosines += [float(c / expected(n)) for c, n in zip((vectors @ own.T).max(axis=1), (np.array(counts) > 0).sum(axis=1))]
     if centroids:
         model.centroids = np.concatenate(centroids).astype(np.float32)
         model.reach = slack * float(np.quantile(cosines, 0.001))

@@ -83,6 +83,18 @@ def test_far_texts_are_rejected(spark):
     assert kept.columns == docs.columns and kept.count() >= docs.count() - 1
 
 
+def test_languages_not_learned_are_rejected(spark):
+    docs = table(spark, SF.replace("0.001", "0.01"), "documents").where("lang IS NOT NULL")
+    for left_out, least in (("de", 0.9), ("fr", 0.9), ("es", 0.9), ("en", 0.9)):
+        found = language.predict(docs.where(F.col("lang") == left_out), language.fit(docs.where(F.col("lang") != left_out)))
+        assert found.agg(F.avg(F.col("rejected").cast("int"))).first()[0] > least
+    model = language.fit(docs)
+    assert language.predict(docs, model).where("rejected").count() == 0
+    words = {w for r in docs.select("text").limit(20).collect() for w in r.text.split()[:5] if w.isascii() and w.isalpha()}
+    assert len(words) > 20 and not any(model.predict(" ".join([w] * 300))[2] for w in words)
+    assert model.predict("это просто русский текст который модель не знает " * 10)[2]
+
+
 def test_several_centroids():
     import numpy as np
     rows = np.eye(6)[[0, 0, 1, 1, 2, 2, 2]]
