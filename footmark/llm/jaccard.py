@@ -1,11 +1,12 @@
 """Similarity join of documents on word shingles by the chosen-path method.
 
 A document is the set of its runs of five words.  Documents with one set are a class; one member speaks for it.  In
-each run a class is split on sampled tokens: a node picks a few of the signature's coordinates by a hash of its path
-(1 / threshold of them on average) and a class goes to the child named by its token there, the shingle of smallest
-hash, which two sets share with the probability of their similarity.  Small nodes are searched by brute force on the
-signatures; large ones are split again, up to ``depth`` times; what is still large then is dense and is compared in
-tiles.  Runs are repeated until a pair at the threshold is missed with probability 1 - ``recall`` at most.
+each run classes are split on the tokens of one of the signature's coordinates: a class goes to the child named by its
+token there, the shingle of smallest hash, which two sets share with the probability of their similarity.  Nodes below
+pick a few coordinates by a hash of their path (1 / threshold of them on average).  Small nodes are searched by brute
+force on the signatures, and so are large ones in which many pairs are near, in tiles; other large ones are split again,
+up to ``depth`` times; what is still large then is compared in tiles.  Runs are repeated until a pair at the threshold is missed with probability 1 - ``recall`` at most.
+A pair can part at every split, so classes in a large node take part in more runs than the others (``missed``).
 
 Candidates are kept as spanning links of each node, never as all its pairs.  Classes that hang together are verified
 exactly on their whole sets, in tasks of at most ``TILE`` classes against as many; they count the links of each class
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,11 @@ from footmark.llm.substring import WORDS, hashed_runs, mixed
 
 COORDINATES = 48
 SALTS = np.random.default_rng(3).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Signatures that agree in this part of the coordinates are verified; four standard deviations below a similarity of 0.8.
-AGREE = 0.55
+#: Signatures that agree in this part of the coordinates are verified; five standard deviations below a similarity of 0.8.
+AGREE = 0.5
 SMALL = 1000  # classes of a node that are searched by brute force
 TILE = 2048
+SAMPLE, NEAR = 64, 0.25  # classes of a large node that are compared, and the part of their pairs that makes it near
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -109,9 +112,35 @@ def chosen(path: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((drawn >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53))
 
 
-def split(rows: DataFrame, rate: float, runs: int = 0) -> DataFrame:
-    """path, set_id of the children of each row's node; of the roots of all runs, where ``runs`` is given."""
-    roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+def missed(runs: int, threshold: float, rate: float, splits: int) -> float:
+    """Probability that a pair at the threshold shares no node after so many runs, each split again ``splits`` times, or
+    that its signatures agree in too few coordinates.  A pair that agrees in k coordinates parts in a node if it parts
+    in each child that they share, of which there is one for each of the k with probability ``rate``."""
+    whole, rest = divmod(runs, COORDINATES)
+    out = 0.0
+    for k in range(COORDINATES + 1):
+        weight = threshold ** k * (1 - threshold) ** (COORDINATES - k)
+        parted = 0.0
+        for _ in range(splits):
+            parted = (1 - rate * (1 - parted)) ** k
+        for j in range(max(0, k - COORDINATES + rest), min(k, rest) + 1):  # of the coordinates that have one run more
+            ways = math.comb(rest, j) * math.comb(COORDINATES - rest, k - j)
+            out += ways * weight * (parted ** (whole * k + j) if k >= AGREE * COORDINATES else 1)
+    return out
+
+
+def runs_for(threshold: float, recall: float, rate: float, splits: int) -> int:
+    """Runs after which no more than 1 - ``recall`` of the pairs at the threshold whose signatures agree are missed."""
+    never, runs = missed(COORDINATES << 20, threshold, rate, splits), 1
+    while missed(runs, threshold, rate, splits) - never > 1 - recall:
+        runs += 1
+    return runs
+
+
+def split(rows: DataFrame, rate: float, runs: range = range(0)) -> DataFrame:
+    """path, set_id of the children of each row's node; of the roots of these runs, where ``runs`` is given.  Runs take
+    one coordinate each, in turn."""
+    roots = mixed(np.array([r // COORDINATES + 1 for r in runs], np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def work(batches):
         for batch in batches:
@@ -119,9 +148,8 @@ def split(rows: DataFrame, rate: float, runs: int = 0) -> DataFrame:
                 continue
             ids, sig = batch.column("set_id").to_numpy(), matrix(batch.column("sig"))
             if runs:
-                root, coordinate = chosen(roots, rate)
-                for r, c in zip(root, coordinate):
-                    path = child(np.full(len(ids), roots[r]), np.full(len(ids), c), sig[:, c])
+                for root, c in zip(roots, (r % COORDINATES for r in runs)):
+                    path = child(np.full(len(ids), root), np.full(len(ids), c), sig[:, c])
                     yield {"path": path.view(np.int64), "set_id": ids}
             else:
                 path = batch.column("path").to_numpy().view(np.uint64)
@@ -175,6 +203,21 @@ def node_links(nodes: DataFrame) -> DataFrame:
     return arrow_map(nodes, work, "a long, b long")
 
 
+def near_nodes(large: DataFrame) -> DataFrame:
+    """path of the nodes in which a quarter of the pairs of about ``SAMPLE`` classes agree.  Splits keep such classes
+    together, and most of their pairs have to be verified anyway: they are searched at once."""
+    sample = large.where(F.pmod(F.xxhash64("path", "set_id"), F.col("n")) < SAMPLE).select("path", "sig")
+
+    def work(batches):
+        for batch in whole_runs(batches, "path"):
+            path, sig = batch.column("path").to_numpy(), matrix(batch.column("sig"))
+            edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
+            own = [(a, b) for a, b in zip(edge[:-1], edge[1:]) if b - a > 1]
+            yield {"path": [path[a] for a, b in own if agreeing(sig[a:b], sig[a:b]).sum() - (b - a) >= NEAR * (b - a) * (b - a - 1)]}
+
+    return arrow_map(sample.repartition("path").sortWithinPartitions("path"), work, "path long")
+
+
 def tiles(rows: DataFrame, size: str, most: int, key: str, *members: str) -> DataFrame:
     """Each group of more than ``most`` rows becomes pairs of tiles of about ``most`` rows; a row goes to the pairs of
     its tile.  Adds ``group`` (the pair), ``tile`` (0 for the first tile of a pair, 1 for the second), ``tiled``, and
@@ -190,23 +233,38 @@ def tiles(rows: DataFrame, size: str, most: int, key: str, *members: str) -> Dat
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float, depth: int) -> DataFrame:
-    """Links (a, b) between classes that may be similar, spanning those of each node.  ``classes`` is a written table."""
-    runs = math.ceil(-math.log(1 - recall))
+    """Links (a, b) between classes that may be similar, spanning those of each node.  ``classes`` is a written table.
+
+    A pair is missed if it shares no node of the first runs, or if all nodes it shares there are large and it parts
+    in their splits; then both its classes are crowded, and crowded classes have as many runs as all splits need."""
     rate = 1 / (threshold * COORDINATES)
-    level, found = split(classes, rate, runs), None
-    for d in range(1, depth + 1):
+    each = 1 - (1 - recall) / 3  # three ways to miss a pair: signatures, first runs, splits
+    runs = runs_for(threshold, each, rate, 0)
+    found = []
+
+    def searched(level: DataFrame, name: str, most: int) -> DataFrame:
+        """Searches the nodes of at most that many classes; the rows of the others."""
         sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        nodes = stage(level.join(sizes.hint("merge"), "path").join(classes.hint("merge"), "set_id"), f"nodes-{d}")
-        most = SMALL if d < depth else 1 << 62
-        links = node_links(nodes.where(F.col("n") <= most).select("path", "set_id", "sig", "n").transform(dense).repartition("path")
-                           .sortWithinPartitions("path"))
-        links = stage(links.distinct(), f"links-{d}")
-        found = links if found is None else found.unionByName(links)
-        large = nodes.where(F.col("n") > most)
-        if d == depth or large.isEmpty():
-            break
-        level = split(large.select("path", "set_id", "sig"), rate)
-    return found.distinct()
+        nodes = stage(level.join(sizes.hint("merge"), "path").join(classes.hint("merge"), "set_id"), f"nodes-{name}")
+        small, large = nodes.where(F.col("n") <= most), nodes.where(F.col("n") > most)
+        if not large.isEmpty():
+            near = stage(near_nodes(large), f"near-{name}")
+            small = small.unionByName(large.join(near, "path", "left_semi").select(*small.columns))
+            large = large.join(near, "path", "left_anti").select(*nodes.columns)
+        links = node_links(small.select("path", "set_id", "sig", "n").transform(dense).repartition("path").sortWithinPartitions("path"))
+        found.append(stage(links.distinct(), f"links-{name}"))
+        return large
+
+    large = searched(split(classes, rate, range(runs)), "1", SMALL if depth > 1 else 1 << 62)
+    if depth > 1 and not large.isEmpty():
+        crowded = stage(classes.join(large.select("set_id").distinct().hint("merge"), "set_id").select(*classes.columns), "crowded")
+        more = range(runs, max(runs, runs_for(threshold, each, rate, depth - 1)))
+        large = large.unionByName(searched(split(crowded, rate, more), "more", SMALL)) if more else large
+        for d in range(2, depth + 1):
+            large = searched(split(large.select("path", "set_id", "sig"), rate), f"{d}", SMALL if d < depth else 1 << 62)
+            if d == depth or large.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def dense(nodes: DataFrame) -> DataFrame:

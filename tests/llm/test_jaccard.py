@@ -55,6 +55,32 @@ def test_large_near_group(spark, monkeypatch):
     assert result(jaccard.join_similar(documents(spark, rows))) == by_brute_force(rows)
 
 
+def test_pairs_that_share_frequent_passages(spark, monkeypatch):
+    """Nearly all that the two texts of a pair share is frequent, so that their nodes are large and split to the end."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{i}w{j}" for j in range(100)) for i in range(16)]
+    chosen = set()
+    while len(chosen) < 300:
+        chosen.add(tuple(sorted(rng.choice(16, 3, replace=False).tolist())))
+    rows = []
+    for i, own in enumerate(sorted(chosen)):
+        for side in (0, 1):
+            tail = " ".join(f"u{i}s{side}w{j}" for j in range(33))
+            rows.append((2 * i + side, " ".join([passages[p] for p in own] + [tail]), None, None, 0, None, None, None))
+    sets = [set(jaccard.shingles(r[1], 5).tolist()) for r in rows]
+    assert all(0.8 <= len(a & b) / len(a | b) <= 0.82 for a, b in zip(sets[::2], sets[1::2]))
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join_similar(documents(spark, rows)).collect()}
+    assert found == {d: (d - d % 2, 1) for d in range(600)}
+
+
+def test_runs_follow_the_splits():
+    rate = 1 / (0.8 * jaccard.COORDINATES)
+    assert jaccard.missed(jaccard.COORDINATES << 20, 0.8, rate, 1) < 1e-6
+    assert all(jaccard.missed(jaccard.runs_for(0.8, 0.99999, rate, d), 0.8, rate, d) < 1.1e-5 for d in range(5))
+    assert jaccard.missed(12, 0.8, rate, 3) > 0.01
+
+
 def test_one_per_class(spark):
     kept = jaccard.one_per_class(documents(spark))
     firsts = {c for d, c, _ in by_brute_force(hard_documents())}
