@@ -20,14 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of a local session without spark.checkpoint.dir: the setting cannot be set in a running session.
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; on one machine a temporary folder where that is not set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="footmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="footmark-"))
+        root = _own_folder[0]
     return root
 
 

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from helpers import DOCS, documents, hard_documents
+from llm_helpers import DOCS, documents, hard_documents
 
 from footmark.llm import jaccard
 

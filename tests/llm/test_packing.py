@@ -5,7 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from helpers import DOCS, documents, hard_documents
+from llm_helpers import DOCS, documents, hard_documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

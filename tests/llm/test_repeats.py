@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
-from helpers import DOCS, collected, documents, hard_documents
+from llm_helpers import DOCS, collected, documents, hard_documents
 
 from footmark.llm import blocks, substring, suffix
 

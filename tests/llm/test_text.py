@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-from helpers import DOCS, documents, hard_documents
+from llm_helpers import DOCS, documents, hard_documents
 from pyspark.sql import functions as F
 
 from footmark.llm import chat, decontamination, language
