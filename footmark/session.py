@@ -31,14 +31,15 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
-def local_session(cpus: str | None = None) -> SparkSession:
-    """Session of this machine, for tests and benchmarks."""
+def local_session(cpus: str | None = None, settings: dict[str, str] | None = None) -> SparkSession:
+    """Session of this machine, for tests and benchmarks.  ``settings`` hold what must be set before a session starts."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     spark = (
         configure(SparkSession.builder.master(f"local[{cpus}]").appName("footmark"))
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(map=settings or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,10 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from footmark.session import local_session
-    session = local_session("4")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
-    return session
+    return local_session("4", {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})
 
 
 @pytest.fixture(scope="session")
