@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footmark.llm import chat, decontamination, html, jaccard, language, neighbours, packing, substring, suffix, urlfilter
+from footmark.llm import binary_packing, chat, decontamination, html, jaccard, language, neighbours, packing, substring, suffix, urlfilter
 from footmark.llm.common import table
 
 #: (host, path, verdict)
@@ -13,9 +13,9 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_similar(table(spark, sf_dir, "documents"))
 
 
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_html_extraction, op3_chat_formatting, op4_nearest_neighbours, op5_url_filter, op6_language_id,
-    op7_best_fit_packing, op8_decontamination, op9_suffix_dedup, op10_jaccard_join)}
+    op7_best_fit_packing, op8_decontamination, op9_suffix_dedup, op10_jaccard_join, op13_binary_packing)}
