@@ -51,4 +51,45 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM numbered LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n)
 """
 
-ORACLE = {"op3_chat_formatting": CHAT, "op4_nearest_neighbours": NEIGHBOURS, "op5_url_filter": URLS}
+#: Words of pieces, one row each: document, piece and place of a word.
+WORDS = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT doc, lang, generate_subscripts(p, 1) AS piece, unnest(p) AS said
+           FROM (SELECT doc, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS p FROM texts)),
+split AS (SELECT doc, lang, piece, regexp_extract_all(said, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT doc, lang, piece, generate_subscripts(w, 1) AS place, unnest(w) AS word FROM split)
+"""
+
+COLLOCATIONS = WORDS + """,
+one AS (SELECT lang, word AS phrase, count(*) AS f FROM words GROUP BY ALL),
+grams AS (
+    SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4
+    FROM words WINDOW p AS (PARTITION BY doc, piece ORDER BY place)),
+phrases AS (
+    SELECT lang, [w1, w2] AS words, count(*) AS a FROM grams WHERE w2 IS NOT NULL GROUP BY ALL UNION ALL
+    SELECT lang, [w1, w2, w3], count(*) FROM grams WHERE w3 IS NOT NULL GROUP BY ALL UNION ALL
+    SELECT lang, [w1, w2, w3, w4], count(*) FROM grams WHERE w4 IS NOT NULL GROUP BY ALL),
+parts AS (SELECT lang, [phrase] AS words, f FROM one UNION ALL SELECT lang, words, a FROM phrases WHERE len(words) < 4),
+candidates AS (SELECT lang, words, a FROM phrases WHERE a >= 30),
+cuts AS (SELECT lang, words, a, unnest(range(1, len(words))) AS k FROM candidates),
+scored AS (
+    SELECT c.lang, c.words, a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+    FROM cuts c JOIN parts x ON x.lang = c.lang AND x.words = c.words[1:k]
+    JOIN parts y ON y.lang = c.lang AND y.words = c.words[k + 1:]),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM scored),
+taken AS (
+    SELECT lang, part, max(a) AS longer
+    FROM (SELECT lang, a, unnest(list_filter([words[1:2], words[2:3], words[3:4], words[1:3], words[2:4]],
+                                             lambda p: len(p) > 1 AND len(p) < len(words))) AS part FROM candidates) GROUP BY ALL),
+left_over AS (
+    SELECT s.lang, array_to_string(s.words, ' ') AS phrase, s.a, l, r, score FROM lowest s
+    LEFT JOIN taken t ON t.lang = s.lang AND t.part = s.words WHERE place = 1 AND (longer IS NULL OR 100 * longer < 80 * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE = {"op3_chat_formatting": CHAT, "op4_nearest_neighbours": NEIGHBOURS, "op5_url_filter": URLS,
+          "op12_phrase_collocations": COLLOCATIONS}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footmark.llm import binary_packing, chat, decontamination, html, jaccard, language, neighbours, packing, spelling, substring, suffix, urlfilter
+from footmark.llm import (
+    binary_packing, chat, collocation, decontamination, html, jaccard, language, neighbours, packing, spelling, substring, suffix, urlfilter)
 from footmark.llm.common import table
 
 #: (host, path, verdict)
@@ -68,10 +69,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.best_phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_html_extraction, op3_chat_formatting, op4_nearest_neighbours, op5_url_filter, op6_language_id,
-    op7_best_fit_packing, op8_decontamination, op9_suffix_dedup, op10_jaccard_join, op11_spelling_variants, op13_binary_packing)}
+    op7_best_fit_packing, op8_decontamination, op9_suffix_dedup, op10_jaccard_join, op11_spelling_variants, op12_phrase_collocations,
+    op13_binary_packing)}
