@@ -18,16 +18,35 @@ ODD = ["a", "B", "é", "İ", "ß", "'", "'s", "'re", ".", "<|endoftext|>", "12",
        "　", " ", "don't", "(x)", "_", "THE", "🙂", "́", "ʼ", "ª", "\x00", "ƀ"]
 
 
-@settings(max_examples=500, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(ODD) | st.text(max_size=3), max_size=12).map("".join), max_size=4))
-def test_ids_of_the_tokenizer(texts):
-    assert IDS.encode(texts) == [IDS.direct(t) for t in texts]
+def own(text):
+    """Ids by the tokenizer itself."""
+    return np.array(IDS.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def test_few_entries_are_kept():
-    few = packing.ByteIds(PATH, most=5)
-    for text in ("one two three four", "five six seven, eight", "one (two)  three"):
-        assert few.encode([text, "", "x " + text]) == [few.direct(text), b"", few.direct("x " + text)]
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(ODD) | st.text(max_size=3), max_size=12).map("".join))
+def test_ids_of_the_tokenizer(text):
+    assert np.array_equal(IDS.encode(text), own(text))
+
+
+def test_every_character_is_cut_alike():
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(characters), 5000):
+        text = ".".join(f"a{c}1{c} {c}  {c}b" for c in characters[at:at + 5000])
+        assert np.array_equal(IDS.encode(text), own(text))
+
+
+@pytest.mark.parametrize("part", [" ", "x", "\n", " x", "é"])
+def test_long_texts(part):
+    text = part * 200_000 + "a"
+    assert np.array_equal(IDS.encode(text), own(text))
+
+
+def test_white_space_that_only_the_tokenizer_cuts():
+    text = " " * 1_000_000 + "a"
+    with pytest.raises(ValueError):
+        IDS.fast.encode_to_numpy(text)
+    assert np.array_equal(IDS.encode(text), own(text))
 
 
 @given(st.integers(0, 1 << 40), st.integers(0, 12))
@@ -43,7 +62,7 @@ def test_pieces_and_sequences(spark, limit):
     rows = packing.packed_documents(documents(spark), PATH, limit, keep_ids=True, batch_tokens=64).collect()
     want = Counter()
     for doc, text, *_ in hard_documents():
-        ids, at = IDS.direct(text or "") + bytes(4), 0
+        ids, at = own(text or "").tobytes() + bytes(4), 0
         for length in packing.binary_lengths(len(ids) // 4, limit):
             want[doc, at, length, zlib.crc32(ids[4 * at:4 * (at + length)]), len(ids) // 4] += 1
             at += length
@@ -68,4 +87,4 @@ def test_empty(spark):
 
 
 def test_end_token_ids_are_in_place():
-    assert np.frombuffer(IDS.encode(["a<|endoftext|>b"])[0], "<u4").tolist()[1] == 50256
+    assert IDS.encode("a<|endoftext|>b")[1] == 50256
