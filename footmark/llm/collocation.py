@@ -132,9 +132,12 @@ def grow(counted: DataFrame, pairs: DataFrame, thresholds: DataFrame, keep: tupl
     """Phrases of three and four words, as pairs that overlap, which their bounds leave in the frontier, or which may take
     in a phrase of the frontier: (first, second, third or null, n) by block.
 
+    A block learns of the pairs whose own bound reaches the threshold; what begins and ends with others cannot.
     ``keep`` is the share (numerator, denominator) of occurrences from which a longer phrase takes the shorter one in.
     """
-    known = (counted.where("pair IS NOT NULL").select("block", "pair").join(pairs, "pair").join(thresholds, "lang")
+    reach = (F.lit(float(SCALE)) * F.col("a") / (F.least("l", "r") + F.col("a")) + 1) >= F.col("threshold")
+    frontier = pairs.join(thresholds, "lang").where(reach)
+    known = (counted.where("pair IS NOT NULL").select("block", "pair").join(frontier, "pair")
              .select(F.col("block").alias("home"), "pair", "a", "l", "r", "score", "threshold"))
     tokens = counted.where("tokens IS NOT NULL").join(thresholds, "lang", "left_semi").select("block", "tokens")
 
@@ -147,35 +150,38 @@ def grow(counted: DataFrame, pairs: DataFrame, thresholds: DataFrame, keep: tupl
         ids = np.frombuffer(left.column("tokens")[0].as_py(), "<i4").astype(np.int64)
         here = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] << 32 | ids[1:], -1)
         at = np.minimum(np.searchsorted(pair, here), len(pair) - 1)
-        at = np.where(pair[at] == here, at, -1)
+        at = np.where(pair[at] == here, at, len(pair))  # the last place stands for all other pairs
+        begins = np.append(bound(a, f, a) >= least, False)  # may begin a phrase of the frontier
+        ends = np.append(bound(a, a, g) >= least, False)
+        stands = np.append(own >= least, False)
+        a, f, g = np.append(a, 1 << 62), np.append(f, 1), np.append(g, 1)  # of other pairs nothing is known
 
         def rows(*parts: np.ndarray) -> pa.Table:
-            code = parts[0]
-            for k, p in enumerate(parts[1:]):
-                if k:  # three local numbers may pass 64 bits
-                    code = np.unique(code, return_inverse=True)[1]
-                code = code * len(pair) + p
+            code, columns = np.zeros(len(parts[0]), np.int64), []
+            for p in parts:
+                values, place = np.unique(p, return_inverse=True)
+                code = np.unique(code, return_inverse=True)[1] * max(1, len(values)) + place  # numbers of this block stay below 64 bits
             _, places, n = np.unique(code, return_index=True, return_counts=True)
-            columns = [pa.array(pair[p[places]], pa.int64()) for p in parts] + [pa.nulls(len(n), pa.int64())]
+            columns = [pa.array(p[places], pa.int64()) for p in parts] + [pa.nulls(len(n), pa.int64())]
             return pa.Table.from_arrays([*columns[:3], pa.array(n, pa.int64())], schema=GROWN)
 
-        x, y = at[:-1], at[1:]
-        threes = np.flatnonzero((x >= 0) & (y >= 0))
-        x, y = x[threes], y[threes]
+        threes = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
+        x, y = at[threes], at[threes + 1]
         most = np.minimum(a[x], a[y])
-        grows = (bound(most, f[x], most) >= least) | (bound(most, most, g[y]) >= least)
+        grows = (begins[x] & (bound(most, f[x], most) >= least)) | (ends[y] & (bound(most, most, g[y]) >= least))
         takes = np.zeros(len(most), bool)
         for p in (x, y):
-            takes |= (own[p] >= least) & (keep[1] * most >= keep[0] * a[p])
-        good = np.minimum(bound(most, f[x], a[y]), bound(most, a[x], g[y])) >= least  # may be a candidate of the frontier
-        wanted = grows | takes
-        threes_found = rows(x[wanted], y[wanted])
+            takes |= stands[p] & (most * float(keep[1]) >= keep[0] * a[p] * (1 - 1e-9))
+        good = begins[x] & ends[y] & (np.minimum(bound(most, f[x], a[y]), bound(most, a[x], g[y])) >= least)  # may be of the frontier
+        wanted = threes[grows | takes]
+        threes_found = rows(here[wanted], here[wanted + 1])
         next_to = np.flatnonzero(np.diff(threes) == 1)  # four words: two threes that follow each other
         x4, y4, z4 = x[next_to], y[next_to], y[next_to + 1]
         most = np.minimum(np.minimum(a[x4], a[y4]), a[z4])
-        top = np.minimum(np.minimum(bound(most, f[x4], most), bound(most, most, g[z4])), bound(most, a[x4], a[z4])) >= least
-        wanted = top | good[next_to] | good[next_to + 1]
-        return pa.concat_tables([threes_found, rows(x4[wanted], y4[wanted], z4[wanted])])
+        top = begins[x4] & ends[z4] & (np.minimum(
+            np.minimum(bound(most, f[x4], most), bound(most, most, g[z4])), bound(most, a[x4], a[z4])) >= least)
+        wanted = threes[next_to[top | good[next_to] | good[next_to + 1]]]
+        return pa.concat_tables([threes_found, rows(here[wanted], here[wanted + 1], here[wanted + 2])])
 
     return tokens.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(work, "first long, second long, third long, n long")
 
