@@ -264,6 +264,64 @@ def sniff_blobs(files: DataFrame, blob_rules: DataFrame, marker_bytes: int | Non
     )
 
 
+def sniff_ranges(ranges: DataFrame, blob_rules: DataFrame) -> DataFrame:
+    """``sniff_blobs`` for files that were read in ranges (``sources.ranges``), and so of any size.
+
+    Each range says what it holds of a file: the header if it is the first, footers, marks of structure, platform
+    markers.  What lies across a border is whole in an overlap, which must be as long as the longest of them; a file's
+    facts are then the union over its ranges, one short row for each of them.
+    """
+    rules = blob_rules.select("name", "extension", "header", "footer", "validate_internal", "min_size", "max_size").limit(1001).collect()
+    if len(rules) > 1000:
+        raise ValueError("more than 1000 blob rules")
+    keep = [c for c in ranges.columns if c not in ("first", "start", "stop", "data")]
+    insides = {"DOCX": "504B0506", "ZIP": "504B0506", "ChatGPT_Export": "504B0506", "PDF": "2525454F46"}
+    begins = F.col("first") == 0
+
+    def seen(what: bytes, most: int | None, after: int) -> Column:
+        """Whether a range holds some bytes that lie behind the first ``after`` ones of the file and within ``most``."""
+        stop = F.lit(2**31 - 1) if most is None else F.greatest(F.lit(most) - F.col("first"), F.lit(0)).cast("int")
+        skip = F.greatest(F.lit(after) - F.col("first"), F.lit(0)).cast("int")
+        return F.contains(F.substring(F.substring("data", F.lit(1), stop), skip + 1, F.lit(2**31 - 1)), F.lit(what))
+
+    facts, plain = [], F.coalesce("data", F.lit(b""))
+    for i, r in enumerate(rules):
+        most = r["max_size"]
+        facts.append(F.max(begins & F.startswith(plain, F.lit(bytes(r["header"])))).alias(f"head_{i}"))
+        facts.append(F.max(seen(bytes(r["footer"]), most, len(r["header"])) if r["footer"] else F.lit(False)).alias(f"foot_{i}"))
+        inside = insides.get(r["name"]) if r["validate_internal"] else None
+        facts.append(F.max(seen(bytes.fromhex(inside), most, 0) if inside else F.lit(False)).alias(f"inside_{i}"))
+    starts = {"DOCX": b"PK\x03\x04", "ZIP": b"PK\x03\x04", "ChatGPT_Export": b"PK\x03\x04", "SQLite": b"SQLite format 3\x00", "PDF": b"%PDF-"}
+    for what in set(starts.values()):
+        facts.append(F.max(begins & F.startswith(plain, F.lit(what))).alias("begins_" + what.hex()))
+    lowered = F.lower(F.decode(F.col("data"), "ISO-8859-1"))
+    words = [w for w, _ in V.BLOB_MARKERS]
+    marker = M.chain([(F.contains(lowered, F.lit(w)), F.lit(i)) for i, w in enumerate(words)], F.lit(len(words)))
+    files = ranges.groupBy(*keep).agg(*facts, F.min(marker).alias("marker"))
+    slots = []
+    for i, r in enumerate(rules):
+        name, least, most = r["name"], r["min_size"], r["max_size"]
+        size = F.col("size") if most is None else F.least(F.col("size"), F.lit(most))
+        header = len(r["header"])
+        if not r["validate_internal"]:
+            state = F.lit("Not Validated")
+        elif name in starts:
+            right = F.col("begins_" + starts[name].hex())
+            enough = size >= 100 if name == "SQLite" else size > 30 if name != "PDF" else size >= 5
+            whole = F.lit("Valid") if name == "SQLite" else F.when(F.col(f"inside_{i}"), "Valid").otherwise("Partial Structure")
+            state = F.when(right & enough, whole).otherwise("Header Only")
+        else:
+            state = F.lit("Header Only")
+        closed = F.col(f"foot_{i}")
+        slots.append(F.when(F.col(f"head_{i}") & (size > header) & (size >= least), F.struct(
+            F.lit(name).alias("rule"), F.lit(r["extension"]).alias("carved_ext"), state.alias("validation"),
+            F.when(closed, "Complete").otherwise("Partial").alias("recovery_status"),
+            F.when(closed, "Moderate").otherwise("Low").alias("confidence_hint"))))
+    platforms = F.array(*[F.lit(p) for _, p in V.BLOB_MARKERS], F.lit(V.UNKNOWN))
+    return (files.withColumn("found", F.explode(F.array_compact(F.array(*slots)))).withColumn("platform", F.get(platforms, F.col("marker")))
+            .select(*keep, "found.*", "platform"))
+
+
 MANIFEST_SCHEMA = "actions array<struct<action string, softwareAgent string>>, claim_generator string"
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,53 +67,147 @@ def scan_hit_values(df: DataFrame, text_col: str, patterns: list[Pattern]) -> Da
     return _with_hits(df, text_col, patterns).select(*keep, F.explode(every).alias("hit")).select(*keep, "hit.*")
 
 
+#: Runs that hold every secret: each token pattern begins like this and goes on with these letters only, so that matches
+#: which overlap lie in one run.
+SECRET_RUN = r"(?:sk-|sess-|AIza)[A-Za-z0-9_-]{20,}"
+#: Steps of running sums that are added up in one go.
+STEPS = 256
+
+
+def as_latin(data: Column) -> Column:
+    """Bytes as a text with one character for each byte: character positions are byte positions."""
+    return F.decode(data.cast("binary"), "ISO-8859-1")
+
+
+def _latin_pattern(kind: str, pattern: str) -> str:
+    """A pattern for bytes read as characters; a line ends at a line feed only."""
+    return ("(?d)" if kind == "Platform Token" else "(?id)") + pattern.encode().decode("latin-1")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sum(steps: Column) -> Column:
+    """Sums of an array's first, first two, first three, ... numbers.
+
+    Arrays grow by copies, so sums are taken over parts of the array and shifted by the sums of the parts before.
+    """
+    def append(zero: str) -> Column:
+        return F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast(zero).alias("out"))
+
+    def one_part(part: Column) -> Column:
+        return F.aggregate(part, append("array<bigint>"), lambda acc, x: F.struct(
+            (acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + x)).alias("out")))
+
+    starts = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps), F.lit(STEPS))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(starts, lambda at: one_part(F.slice(steps, at, STEPS)))
+    shifted = F.aggregate(parts, append("array<array<bigint>>"), lambda acc, part: F.struct(
+        (acc["sum"] + part["sum"]).alias("sum"),
+        F.concat(acc["out"], F.array(F.transform(part["out"], lambda x: x + acc["sum"]))).alias("out")))
+    return F.flatten(shifted["out"])
+
+
+SPOT = "array<struct<offset:bigint,pattern_no:int,length:int>>"
+
+
+def _anchored(lowered: Column, patterns: list[Pattern]) -> Column:
+    """Numbers of the patterns whose anchor a text has; plain search, and none of the patterns is run."""
+    anchors = F.array(*[F.lit(a if a is not None and a.isascii() else "") for *_, a in patterns])
+    return F.filter(F.array(*[F.lit(i) for i in range(len(patterns))]), lambda i: F.contains(lowered, F.get(anchors, i)))
+
+
+def _spots(latin: Column, numbers: Column, patterns: list[Pattern]) -> Column:
+    """Places of all hits of the numbered patterns, in (offset, pattern) order: lengths of what lies between matches, added up.
+
+    Patterns are a constant array, so the expression is one whatever their number.
+    """
+    regexes = F.array(*[F.lit(_latin_pattern(kind, p)) for kind, p, *_ in patterns])
+
+    def of(i: Column) -> Column:
+        regex = F.get(regexes, i)
+
+        def steps(lengths: Column) -> Column:
+            gaps = F.transform(F.split(latin, regex, -1), lambda g: F.length(g).cast("bigint"))
+            # the last gap lies behind the last match and starts nothing
+            return F.slice(F.zip_with(gaps, F.concat(F.array(F.lit(0)), lengths), lambda g, m: g + m), F.lit(1), F.size(lengths))
+
+        def found(lengths: Column) -> Column:
+            return _let(steps(lengths), lambda s: F.zip_with(running_sum(s), lengths, lambda at, n: F.struct(
+                at.alias("offset"), i.alias("pattern_no"), n.alias("length"))).cast(SPOT))
+
+        return _let(F.transform(F.regexp_extract_all(latin, regex, 0), lambda m: F.length(m)), found)
+
+    return F.array_sort(F.flatten(F.transform(numbers, of)))
+
+
+def _covered(latin: Column) -> Column:
+    """Bytes with every secret covered, so that no context shows one, not that of a neighbour either."""
+    gaps, secrets = F.split(latin, SECRET_RUN, -1), F.regexp_extract_all(latin, F.lit(SECRET_RUN), 0)
+    stars = F.transform(secrets, lambda s: F.repeat(F.lit("*"), F.length(s)))
+    covered = F.array_join(F.zip_with(gaps, stars, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    return F.encode(F.when(F.rlike(latin, F.lit(SECRET_RUN)), covered).otherwise(latin), "ISO-8859-1")
+
+
+HIT = "array<struct<offset:bigint,pattern_no:int,length:int,matched:string,context:string>>"
+
+
+def _hits(latin: Column, numbers: Column, patterns: list[Pattern]) -> Column:
+    """All hits of a text in order, with what they matched and what stands around them; secrets are covered."""
+    secret = F.array(*[F.lit(kind == "Platform Token") for kind, *_ in patterns])
+    spans = F.array(*[F.lit(128 if kind == "Export Marker" else 64) for kind, *_ in patterns])
+
+    def described(spot: Column, safe: Column) -> Column:
+        i, at = spot["pattern_no"], spot["offset"].cast("int")
+        first = F.greatest(at - F.get(spans, i), F.lit(0))
+        around = F.replace(M.lenient_text(F.substring(safe, first + 1, at + F.get(spans, i) - first)), F.lit("\0"), F.lit(""))
+        return F.struct(
+            spot["offset"].alias("offset"), i.alias("pattern_no"), spot["length"].alias("length"),
+            F.when(F.get(secret, i), V.TOKEN_PLACEHOLDER).otherwise(M.lenient_text(F.substring(safe, at + 1, spot["length"]))).alias("matched"),
+            F.when(F.get(secret, i), V.TOKEN_CONTEXT).otherwise(F.left(around, F.lit(256))).alias("context"))
+
+    return _let(_spots(latin, numbers, patterns), lambda spots: F.when(
+        F.size(spots) > 0, _let(_covered(latin), lambda safe: F.transform(spots, lambda s: described(s, safe)).cast(HIT)))
+        .otherwise(F.array().cast(HIT)))
+
+
+def _named(rows: DataFrame, keep: list[str], patterns: list[Pattern]) -> DataFrame:
+    """Hits as columns, with their pattern's type and platform."""
+    def of_pattern(n: int) -> Column:
+        return F.get(F.array(*[F.lit(p[n]) for p in patterns]), F.col("hit.pattern_no"))
+
+    return rows.select(*keep, "hit.pattern_no", of_pattern(0).alias("hit_type"), of_pattern(2).alias("platform"), "hit.offset",
+                       "hit.length", "hit.matched", "hit.context")
+
+
 def scan_hits(df: DataFrame, text_col: str, patterns: list[Pattern], cap: int | None = None) -> DataFrame:
-    """Every hit with byte offset, length and context, in (offset, pattern) order per text.
+    """Every hit with byte offset, length and context, numbered in (offset, pattern) order per text.
 
-    Offsets of all hits of a text are more than SQL functions give, so texts
-    that contain an anchor go through ``mapInPandas``; the others never leave
-    the JVM.  ``cap`` keeps the first hits per text, for callers who want that.
+    Texts are read as characters of one byte each, so all of it is SQL functions.  ``cap`` keeps the first hits per
+    text, for callers who want that.
     """
     keep = [c for c in df.columns if c != text_col]
-    rows = _with_hits(df, text_col, patterns).select(*keep, text_col)
-    compiled = [(i, k, re.compile(p.encode(), 0 if k == "Platform Token" else re.I), platform,
-                 None if a is None else a.encode()) for i, (k, p, platform, a) in enumerate(patterns)]
-    secrets = [re.compile(p.encode()) for p in [*(p for p, _ in V.HIT_TOKENS), V.MEMORY_KEY_PATTERN]]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
-    schema = (fields + ", " if fields else "") + (
-        "hit_no int, pattern_no int, hit_type string, platform string, offset bigint, length int, "
-        "matched string, context string")
-    names = ["hit_no", "pattern_no", "hit_type", "platform", "offset", "length", "matched", "context"]
-
-    def one_text(text: str) -> list[tuple]:
-        data = text.encode()
-        lowered = data.lower()
-        found = sorted(((m.start(), i, k, platform, m) for i, k, rx, platform, anchor in compiled
-                        if anchor is None or anchor in lowered for m in rx.finditer(data)), key=lambda h: h[:2])
-        # Secrets are covered before any context is cut, so that no neighbour's context shows one.
-        safe = bytearray(data)
-        for rx in secrets:
-            for m in rx.finditer(data):
-                safe[m.start():m.end()] = b"*" * len(m.group())
-        out = []
-        for n, (at, i, kind, platform, m) in enumerate(found if cap is None else found[:cap]):
-            span = 128 if kind == "Export Marker" else 64
-            secret = kind == "Platform Token"
-            around = V.TOKEN_CONTEXT if secret else (
-                safe[max(0, at - span):at + span].decode(errors="replace").replace("\0", "")[:256])
-            out.append((n, i, kind, platform, at, m.end() - at,
-                        V.TOKEN_PLACEHOLDER if secret else safe[at:m.end()].decode(errors="replace"), around))
-        return out
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(i, *hit) for i, text in enumerate(batch[text_col]) for hit in one_text(text)]
-            if found:
-                hits = pd.DataFrame(found, columns=["row", *names])
-                kept = batch[keep].iloc[hits["row"]].reset_index(drop=True)
-                yield pd.concat([kept, hits[names]], axis=1)
-
-    return rows.mapInPandas(scan, schema)
+    rows = df.withColumns({"latin": as_latin(F.col(text_col)), "text_lower": F.lower(text_col)})
+    numbers = _anchored(F.col("text_lower"), patterns)
+    found = rows.select(*keep, F.posexplode(_hits(F.col("latin"), numbers, patterns)).alias("hit_no", "hit"))
+    if cap is not None:
+        found = found.where(F.col("hit_no") < cap)
+    return _named(found, [*keep, "hit_no"], patterns)
+
+
+def scan_ranges(ranges: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """Every hit of files read in ranges (``sources.ranges``), found once: in the range in which it starts.
+
+    Matches may be as long as ranges overlap.  Offsets count from the beginning of the file.
+    """
+    keep = [c for c in ranges.columns if c not in ("first", "start", "stop", "data")]
+    rows = ranges.withColumn("latin", as_latin(F.col("data"))).withColumn("text_lower", F.lower("latin"))
+    numbers = _anchored(F.col("text_lower"), patterns)
+    found = rows.select(*keep, "first", "start", "stop", F.explode(_hits(F.col("latin"), numbers, patterns)).alias("hit"))
+    here = F.col("first") + F.col("hit.offset")
+    inside = found.where((here >= F.col("start")) & (here < F.col("stop")))
+    return _named(inside, [*keep, "first"], patterns).withColumn("offset", F.col("first") + F.col("offset")).drop("first")
 
 
 def redact_key(key: Column) -> Column:

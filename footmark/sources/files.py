@@ -13,10 +13,10 @@ from footmark.functions.matching import basename, extension, lenient_text
 from footmark.operators.exports import EXPORT_SCHEMA
 
 
-def _place(full: Column, root: str) -> tuple[Column, Column]:
-    """Case and path below it, from the full name of a file."""
+def _place(full: Column, root: str, encoded: bool = True) -> tuple[Column, Column]:
+    """Case and path below it, from the full name of a file: encoded as a URI in ``_metadata``, plain in ``binaryFile``."""
     clean = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    decoded = F.url_decode(F.replace(full, F.lit("+"), F.lit("%2B")))
+    decoded = F.url_decode(F.replace(full, F.lit("+"), F.lit("%2B"))) if encoded else full
     rest = F.element_at(F.split(decoded, F.lit("\\Q" + clean + "/\\E"), 2), -1)
     return F.split(rest, "/", 2)[0], F.concat(F.lit("/"), F.get(F.split(rest, "/", 2), F.lit(1)))
 
@@ -33,11 +33,15 @@ def read_log_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Files below a root: case_id, path, name, ext, size, mtime, and their bytes only when asked for."""
+    """Files below a root: case_id, path, name, ext, size, mtime, uri, and their bytes only when asked for.
+
+    ``content`` is for files up to ``binaryFile``'s limit; ``sources.ranges`` reads files of any size.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    case, path = _place(F.col("path"), root)
+    case, path = _place(F.col("path"), root, encoded=False)
     columns = [case.alias("case_id"), path.alias("path"), basename(path).alias("name"),
-               extension(basename(path)).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
+               extension(basename(path)).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
+               raw["path"].alias("uri")]
     return raw.select(*columns, *([F.col("content")] if content else []))
 
 

@@ -74,3 +74,30 @@ def test_hits_and_blobs_as_artifacts(spark):
     row = hits.blob_artifacts(blobs).first()
     assert (row.initial_confidence, row.artifact_subtype) == ("Moderate", "carved_JPEG")
     assert row.notes.startswith("[CARVED] offset=0x64, size=205")
+
+
+def test_running_sums(spark):
+    lists = [[], [5], list(range(300)), [7] * 1000, list(range(512))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id int, steps array<bigint>")
+    got = {r.id: r.sums for r in df.select("id", hits.running_sum(F.col("steps")).alias("sums")).collect()}
+    assert got == {i: [sum(x[:k + 1]) for k in range(len(x))] for i, x in enumerate(lists)}
+
+
+def test_many_hits_in_one_text(spark):
+    text = "é claude.ai\x85" * 3000 + "you.com/search?q\x85chatMode you.com/search?\nchatMode"
+    got = hits.scan_hits(spark.createDataFrame([(1, text)], "id int, text string"), "text", hits.hit_patterns()).collect()
+    data = text.encode()
+    want = sorted((m.start(), n, len(m.group())) for n, (_, p, _, _) in enumerate(hits.hit_patterns()) for m in re.finditer(p.encode(), data, re.I))
+    assert [(r.offset, r.pattern_no, r.length) for r in sorted(got, key=lambda r: r.hit_no)] == want
+    for r in got[:50]:
+        assert r.matched == data[r.offset:r.offset + r.length].decode(errors="replace")
+        assert r.context == data[max(0, r.offset - 64):r.offset + 64].decode(errors="replace")
+
+
+def test_secret_runs_cover_overlapping_secrets(spark):
+    a, b = "sk-" + "a" * 20 + "sess", "-" + "b" * 25
+    key = "AIza" + "c" * 35
+    text = f"claude.ai {a}{b} {key}sk-ant-{'d-' * 12} gpt-4"
+    rows = hits.scan_hits(spark.createDataFrame([(text,)], "text string"), "text", hits.hit_patterns()).collect()
+    shown = " ".join(r.context + r.matched for r in rows)
+    assert rows and not any(x in shown for x in ("aaa", "bbb", "ccc", "d-d"))
