@@ -38,14 +38,6 @@ def _flagged(kind: str, pattern: str) -> str:
     return pattern if kind == "Platform Token" else "(?i)" + pattern
 
 
-def _with_hits(df: DataFrame, text_col: str, patterns: list[Pattern]) -> DataFrame:
-    """Texts that may contain a hit, with their lower-case form: plain search for the anchors, no pattern yet."""
-    lowered = df.withColumn("text_lower", F.lower(text_col))
-    if any(a is None for *_, a in patterns):
-        return lowered
-    return lowered.where(M.contains_any(F.col("text_lower"), [a for *_, a in patterns]))
-
-
 def scan_hit_values(df: DataFrame, text_col: str, patterns: list[Pattern]) -> DataFrame:
     """Every hit as a row with its type, pattern number, platform and text; stays in the JVM.
 
@@ -64,7 +56,8 @@ def scan_hit_values(df: DataFrame, text_col: str, patterns: list[Pattern]) -> Da
 
     keep = [c for c in df.columns if c != text_col]
     every = F.flatten(F.array(*[hits(i, *p) for i, p in enumerate(patterns)]))
-    return _with_hits(df, text_col, patterns).select(*keep, F.explode(every).alias("hit")).select(*keep, "hit.*")
+    # A filter on the anchors would be pushed below the lower-case text and lower it once for each of them.
+    return df.withColumn("text_lower", F.lower(text_col)).select(*keep, F.explode(every).alias("hit")).select(*keep, "hit.*")
 
 
 #: Runs that hold every secret: each token pattern begins like this and goes on with these letters only, so that matches
@@ -239,16 +232,19 @@ def first_rule_hits(df: DataFrame, source: str, text_col: str, rules: RuleBook)
     fewer than five are ignored.  ``offset`` is the character position.
     """
     kinds = {"domain": 0, "cookie_domain": 0, "model": 4, "ls_key": 4, "process": 5}
-    lowered = F.col("text_lower")
-    wanted = [r for k, n in kinds.items() for r in rules.of(k) if len(r.pattern) >= n]
-    slots = [
-        F.when(F.contains(lowered, F.lit(r.pattern.lower())), F.struct(
-            F.lit(r.kind).alias("kind"), F.lit(r.platform).alias("platform"), F.lit(r.pattern).alias("pattern"),
-            F.position(F.lit(r.pattern.lower()), lowered).cast("bigint").alias("offset")))
-        for r in wanted]
-    rows = df.withColumn("text_lower", F.lower(text_col)).where(M.contains_any(lowered, [r.pattern for r in wanted]))
-    found = rows.select(F.col(source), F.explode(F.array_compact(F.array(*slots))).alias("hit")).select(source, "hit.*")
-    return first_hits(found, [source, "kind", "platform", "pattern"])
+    by_word: dict[str, list] = {}
+    for r in (r for k, n in kinds.items() for r in rules.of(k) if len(r.pattern) >= n):
+        by_word.setdefault(r.pattern.lower(), []).append(r)
+    words = sorted(by_word)
+    # A filter on the lower-case text would be pushed below it and lower the text once for each word; a generator is not.
+    constants = F.array(*[F.lit(w) for w in words])
+    found = F.array_compact(F.array(*[F.when(F.contains(F.col("text_lower"), F.lit(w)), F.lit(i)) for i, w in enumerate(words)]))
+    rows = df.withColumn("text_lower", F.lower(text_col)).select(source, "text_lower", F.explode(found).alias("word_no"))
+    at = F.position(F.get(constants, F.col("word_no")), F.col("text_lower")).cast("bigint")
+    first = first_hits(rows.select(source, "word_no", at.alias("offset")), [source, "word_no"])
+    told = df.sparkSession.createDataFrame([(i, r.kind, r.platform, r.pattern) for i, w in enumerate(words) for r in by_word[w]],
+                                           "word_no int, kind string, platform string, pattern string")
+    return first.join(told, "word_no").groupBy(source, "kind", "platform", "pattern").agg(F.min("offset").alias("offset"))
 
 
 def memory_keys(df: DataFrame, source: str, text_col: str, most: int | None = None) -> DataFrame:
