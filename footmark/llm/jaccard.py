@@ -1,12 +1,14 @@
 """Similarity join of documents on word shingles by the chosen-path method.
 
-A document is the set of its runs of five words.  Documents with one set are a class; one member speaks for it.  In
-each run classes are split on the tokens of one of the signature's coordinates: a class goes to the child named by its
-token there, the shingle of smallest hash, which two sets share with the probability of their similarity.  Nodes below
-pick a few coordinates by a hash of their path (1 / threshold of them on average).  Small nodes are searched by brute
-force on the signatures, and so are large ones in which many pairs are near, in tiles; other large ones are split again,
-up to ``depth`` times; what is still large then is compared in tiles.  Runs are repeated until a pair at the threshold is missed with probability 1 - ``recall`` at most.
-A pair can part at every split, so classes in a large node take part in more runs than the others (``missed``).
+A document is the set of its runs of five words.  Documents with one set are a class; one member speaks for it.  A run
+is a path: classes are split on the token of one of the signature's coordinates, the shingle of smallest hash there,
+which two sets share with the probability of their similarity.  Small nodes are searched by brute force on the
+signatures, and so are large ones in which many pairs are near, in tiles; the others go on along the run's path and are
+split on its next coordinate.  What is still large at the end of the path is compared in tiles.
+
+A pair stays together for d steps with probability threshold ** d, so more runs are needed the longer paths are.
+``runs_for`` says how many; classes that were in a large node after d - 1 steps take part in all runs that d steps need.
+So a pair at the threshold is missed with probability 1 - ``recall`` at most, whatever the size of its nodes.
 
 Candidates are kept as spanning links of each node, never as all its pairs.  Classes that hang together are verified
 exactly on their whole sets, in tasks of at most ``TILE`` classes against as many; they count the links of each class
@@ -39,6 +41,7 @@ SALTS = np.random.default_rng(3).integers(1, 1 << 63, COORDINATES, dtype=np.uint
 AGREE = 0.5
 SMALL = 1000  # classes of a node that are searched by brute force
 TILE = 2048
+ROW = "_row_of_the_join"
 SAMPLE, NEAR = 64, 0.25  # classes of a large node that are compared, and the part of their pairs that makes it near
 
 
@@ -102,61 +105,54 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 # --- splitting -------------------------------------------------------------------------------------------------
-def child(path: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mixed(mixed(path + (coordinate.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)) ^ token.astype(np.uint64))
-
-
-def chosen(path: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, coordinate) of the coordinates that each node picks."""
-    drawn = mixed((path[:, None] ^ SALTS[None, :]) * np.uint64(0x9E3779B97F4A7C15))
-    return np.nonzero((drawn >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53))
-
-
-def missed(runs: int, threshold: float, rate: float, splits: int) -> float:
-    """Probability that a pair at the threshold shares no node after so many runs, each split again ``splits`` times, or
-    that its signatures agree in too few coordinates.  A pair that agrees in k coordinates parts in a node if it parts
-    in each child that they share, of which there is one for each of the k with probability ``rate``."""
-    whole, rest = divmod(runs, COORDINATES)
-    out = 0.0
-    for k in range(COORDINATES + 1):
-        weight = threshold ** k * (1 - threshold) ** (COORDINATES - k)
-        parted = 0.0
-        for _ in range(splits):
-            parted = (1 - rate * (1 - parted)) ** k
-        for j in range(max(0, k - COORDINATES + rest), min(k, rest) + 1):  # of the coordinates that have one run more
-            ways = math.comb(rest, j) * math.comb(COORDINATES - rest, k - j)
-            out += ways * weight * (parted ** (whole * k + j) if k >= AGREE * COORDINATES else 1)
-    return out
+def child(path: np.ndarray, coordinate: int, token: np.ndarray) -> np.ndarray:
+    return mixed(mixed(path + (np.uint64(coordinate) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)) ^ token.astype(np.uint64))
+
 
+def coordinate_of(run: int, step: int, depth: int) -> int:
+    """The coordinate of a run's step.  Runs take the coordinates in turn, in another order each time all were taken, so
+    the first 48 / ``depth`` runs share none and are independent."""
+    turn, place = divmod(run * depth + step, COORDINATES)
+    return int(np.random.default_rng(turn).permutation(COORDINATES)[place])
 
-def runs_for(threshold: float, recall: float, rate: float, splits: int) -> int:
-    """Runs after which no more than 1 - ``recall`` of the pairs at the threshold whose signatures agree are missed."""
-    never, runs = missed(COORDINATES << 20, threshold, rate, splits), 1
-    while missed(runs, threshold, rate, splits) - never > 1 - recall:
-        runs += 1
-    return runs
 
+def runs_for(threshold: float, recall: float, steps: int) -> int:
+    """Runs after which a pair at the threshold has parted in all of them, within so many steps, with probability
+    1 - ``recall`` at most."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** steps))
 
-def split(rows: DataFrame, rate: float, runs: range = range(0)) -> DataFrame:
-    """path, set_id of the children of each row's node; of the roots of these runs, where ``runs`` is given.  Runs take
-    one coordinate each, in turn."""
-    roots = mixed(np.array([r // COORDINATES + 1 for r in runs], np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+def begin(classes: DataFrame, runs: range, steps: int, depth: int) -> DataFrame:
+    """path, run, set_id of the nodes of each class after the first steps of these runs."""
+    plan = [(r, [coordinate_of(r, s, depth) for s in range(steps)]) for r in runs]
 
     def work(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, sig = batch.column("set_id").to_numpy(), matrix(batch.column("sig"))
-            if runs:
-                for root, c in zip(roots, (r % COORDINATES for r in runs)):
-                    path = child(np.full(len(ids), root), np.full(len(ids), c), sig[:, c])
-                    yield {"path": path.view(np.int64), "set_id": ids}
-            else:
-                path = batch.column("path").to_numpy().view(np.uint64)
-                row, coordinate = chosen(path, rate)
-                yield {"path": child(path[row], coordinate, sig[row, coordinate]).view(np.int64), "set_id": ids[row]}
+            for r, coordinates in plan:
+                path = mixed(np.full(len(ids), r + 1, np.uint64) * np.uint64(0xA24BAED4963EE407))
+                for c in coordinates:
+                    path = child(path, c, sig[:, c])
+                yield {"path": path.view(np.int64), "run": np.full(len(ids), r, np.int32), "set_id": ids}
+
+    return arrow_map(classes.select("set_id", "sig"), work, "path long, run int, set_id long")
+
 
-    return arrow_map(rows, work, "path long, set_id long")
+def proceed(rows: DataFrame, step: int, depth: int) -> DataFrame:
+    """The nodes of path, run, set_id, sig rows after one step more: one row for each."""
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run, path, sig = batch.column("run").to_numpy(), batch.column("path").to_numpy().view(np.uint64).copy(), matrix(batch.column("sig"))
+            for r in np.unique(run).tolist():
+                c, own = coordinate_of(r, step, depth), run == r
+                path[own] = child(path[own], c, sig[own, c])
+            yield {"path": path.view(np.int64), "run": run, "set_id": batch.column("set_id")}
+
+    return arrow_map(rows.select("path", "run", "set_id", "sig"), work, "path long, run int, set_id long")
 
 
 def components(adjacent: np.ndarray) -> np.ndarray:
@@ -233,13 +229,8 @@ def tiles(rows: DataFrame, size: str, most: int, key: str, *members: str) -> Dat
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float, depth: int) -> DataFrame:
-    """Links (a, b) between classes that may be similar, spanning those of each node.  ``classes`` is a written table.
-
-    A pair is missed if it shares no node of the first runs, or if all nodes it shares there are large and it parts
-    in their splits; then both its classes are crowded, and crowded classes have as many runs as all splits need."""
-    rate = 1 / (threshold * COORDINATES)
-    each = 1 - (1 - recall) / 3  # three ways to miss a pair: signatures, first runs, splits
-    runs = runs_for(threshold, each, rate, 0)
+    """Links (a, b) between classes that may be similar, spanning those of each node.  ``classes`` is a written table."""
+    each = 1 - (1 - recall) / depth  # a pair may be missed at every length of path
     found = []
 
     def searched(level: DataFrame, name: str, most: int) -> DataFrame:
@@ -255,15 +246,15 @@ def candidates(classes: DataFrame, threshold: float, recall: float, depth: int)
         found.append(stage(links.distinct(), f"links-{name}"))
         return large
 
-    large = searched(split(classes, rate, range(runs)), "1", SMALL if depth > 1 else 1 << 62)
-    if depth > 1 and not large.isEmpty():
+    runs = runs_for(threshold, each, 1)
+    level = begin(classes, range(runs), 1, depth)
+    for steps in range(1, depth + 1):
+        large = searched(level, str(steps), SMALL if steps < depth else 1 << 62)
+        if steps == depth or large.isEmpty():
+            break
         crowded = stage(classes.join(large.select("set_id").distinct().hint("merge"), "set_id").select(*classes.columns), "crowded")
-        more = range(runs, max(runs, runs_for(threshold, each, rate, depth - 1)))
-        large = large.unionByName(searched(split(crowded, rate, more), "more", SMALL)) if more else large
-        for d in range(2, depth + 1):
-            large = searched(split(large.select("path", "set_id", "sig"), rate), f"{d}", SMALL if d < depth else 1 << 62)
-            if d == depth or large.isEmpty():
-                break
+        before, runs = runs, max(runs, runs_for(threshold, each, steps + 1))
+        level = proceed(large, steps, depth).unionByName(begin(crowded, range(before, runs), steps + 1, depth))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -354,7 +345,7 @@ def links_of(ids, doc, copies, sets, tile, tiled: bool, within: bool, threshold:
     return out
 
 
-def join_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, depth: int = 4) -> DataFrame:
+def join_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, depth: int = 3) -> DataFrame:
     """doc_id, class_id (smallest id among the documents that hang together by links), copy_of (smallest id with the
     same set), n_links (other documents that are similar enough, copies among them)."""
     sets = stage(sets_of(docs, n), "sets")
@@ -397,7 +388,14 @@ def join_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
 
 def one_per_class(docs: DataFrame, **settings) -> DataFrame:
-    """The documents whose id is the smallest of their class, with all their columns.  A null id stays."""
-    found = join_similar(docs, **settings)
-    gone = found.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class with all its columns: that of the smallest id (null last), one of them if rows repeat.
+
+    Rows are judged, not ids: of two rows with one id and different texts, one may stay and one go.  A row without
+    words is a class of its own.  The rows are written once with a number each, so that all that follows means the same.
+    """
+    numbered = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = join_similar(numbered.select(F.col(ROW).alias("doc_id"), "text"), **settings)
+    ids = numbered.select(F.col(ROW).alias("doc_id"), F.col("doc_id").alias("id"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "doc_id")
+    kept = found.join(ids, "doc_id").groupBy("class_id").agg(F.min(place)["doc_id"].alias(ROW)).select(ROW)
+    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
