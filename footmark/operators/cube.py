@@ -88,6 +88,19 @@ def number_hours(hours: DataFrame, keys: list[str]) -> DataFrame:
     return hours.withColumn("breaks", breaks).withColumn("session_no", F.sum("breaks").over(running) + 1).drop("breaks")
 
 
+def session_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``starts_at``, the hour if a session other than the first begins in it, else null.
+
+    Each hour may have several rows.  They are read in one pass over the hours of a key: what was before, and the
+    earliest of the hour itself, are frames of one window, so nothing is aggregated and joined back.
+    """
+    hour = Window.partitionBy(*keys).orderBy("hour_no")
+    before = F.max("max_at").over(hour.rangeBetween(Window.unboundedPreceding, -1))
+    first = F.min("min_at").over(hour.rangeBetween(0, 0))
+    numbered = rows.withColumn("hour_no", F.floor(F.unix_seconds("hour") / 3600))
+    return numbered.withColumn("starts_at", F.when(first - before > GAP_MICROS, F.col("hour_no"))).drop("hour_no")
+
+
 def session_numbers(cube: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``session_no`` per ``keys`` to cube rows, which hold each hour once per combination of the closed lists."""
     hours = cube.groupBy(*keys, "hour").agg(F.min("min_at").alias("min_at"), F.max("max_at").alias("max_at"))

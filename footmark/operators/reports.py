@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footmark.functions import fixed_values as V
 from footmark.functions.matching import contains_any, distinct
-from footmark.operators.cube import most_frequent, session_numbers
+from footmark.operators.cube import most_frequent, session_starts
 from footmark.operators.scoring import level_of, rank_of
 
 PLATFORM = ["case_id", "suspected_platform"]
@@ -49,14 +49,14 @@ def footprints(cube: DataFrame, coverage: DataFrame) -> DataFrame:
     hourly = cube.where(F.col("suspected_platform") != V.UNKNOWN).groupBy(*PLATFORM, "hour", *sorts).agg(
         *[F.sum(c).alias(c) for c in sums], *ends)
     # Down to one row per combination of closed-list values, so that the array for the modes stays short.
-    parts = session_numbers(hourly, PLATFORM).groupBy(*PLATFORM, *sorts).agg(
-        *[F.sum(c).alias(c) for c in sums], *ends, F.max("session_no").alias("session_no"))
+    parts = session_starts(hourly, PLATFORM).groupBy(*PLATFORM, *sorts).agg(
+        *[F.sum(c).alias(c) for c in sums], *ends, F.collect_set("starts_at").alias("starts"))
     kind, family = F.col("classification"), F.col("artifact_family")
     wide = parts.groupBy(*PLATFORM).agg(
         F.sum("n").alias("total"), _total(kind == "Direct").alias("direct"),
         _total(kind == "Inferred").alias("inferred"), F.min("min_at").alias("earliest_us"),
         F.max("max_at").alias("latest_us"),
-        F.when(F.sum("n_timed") > 0, F.max("session_no")).otherwise(0).alias("sessions"),
+        F.when(F.sum("n_timed") > 0, F.size(F.array_distinct(F.flatten(F.collect_list("starts")))) + 1).otherwise(0).alias("sessions"),
         F.sum("n_upload_word").alias("image_indicators"),
         _total(family.isin(V.DOWNLOADS, V.CONTENT)).alias("export_indicators"),
         F.sum("n_prompt_word").alias("prompt_remnants"), F.sum("n_response_word").alias("response_remnants"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footmark.functions import fixed_values as V
-from footmark.operators.cube import GAP_MICROS
+from footmark.operators.cube import GAP_MICROS, place
 from footmark.operators.spread import join_back, with_salt
 
 
@@ -20,15 +20,20 @@ def describe_event() -> Column:
         F.when(indicator != "", indicator).otherwise(F.col("artifact_type")))
 
 
+def event_place() -> Column:
+    """Time and ``seq`` of a timed row as one number (no ``seq`` comes first), so that its minimum is a hash aggregate."""
+    return place(F.unix_micros("ts"), F.coalesce("seq", F.lit(-1)))
+
+
 def case_sessions(timed: DataFrame) -> DataFrame:
     """Per (case, hour) of salted timed rows: session number, first and last (time, seq) and size of the session."""
-    place = F.struct(F.unix_micros("ts").alias("at"), "seq")
+    at, here = F.unix_micros("ts"), event_place()
+    ends = [F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     per_salt = timed.groupBy("case_id", "hour", "salt").agg(
-        F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
-    hours = per_salt.groupBy("case_id", "hour").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("salt").alias("salts"))
+        F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.min(here).alias("lo"), F.max(here).alias("hi"))
+    hours = per_salt.groupBy("case_id", "hour").agg(F.sum("n").alias("n"), *ends, F.collect_set("salt").alias("salts"))
     by_hour = Window.partitionBy("case_id").orderBy("hour")
-    gap = F.col("lo.at") - F.lag("hi.at").over(by_hour) > GAP_MICROS
+    gap = F.col("first_at") - F.lag("last_at").over(by_hour) > GAP_MICROS
     numbered = hours.withColumn("breaks", F.coalesce(gap, F.lit(False)).cast("int")).withColumn(
         "session_no", F.sum("breaks").over(by_hour.rowsBetween(Window.unboundedPreceding, 0)) + 1)
     session = Window.partitionBy("case_id", "session_no")
@@ -52,11 +57,11 @@ def timeline(artifacts: DataFrame, plain: DataFrame | None = None) -> DataFrame:
     timed = salted(artifacts)
     sessions = case_sessions(timed if plain is None else salted(plain.select("case_id", "record_id", "ts", "seq")))
     joined = join_back(timed, sessions, ["case_id", "hour"])
-    place = F.struct(F.unix_micros("ts").alias("at"), "seq")
+    here = event_place()
     number = F.col("session_no").cast("string")
     mark = (
-        F.when(place == F.col("first_place"), F.concat(F.lit("[Session "), number, F.lit(" Start] ")))
-        .when((place == F.col("last_place")) & (F.col("session_size") > 1),
+        F.when(here == F.col("first_place"), F.concat(F.lit("[Session "), number, F.lit(" Start] ")))
+        .when((here == F.col("last_place")) & (F.col("session_size") > 1),
               F.concat(F.lit("[Session "), number, F.lit(" End] "))).otherwise(""))
     scored = [c for c in ("confidence",) if c in artifacts.columns]
     return joined.select(
