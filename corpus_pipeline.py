@@ -5,7 +5,7 @@ copies; substring removal takes repeated phrases out of the texts; decontaminati
 of the benchmark; packing turns the rest into sequences of tokens.  Each stage reads all that the one before wrote.
 
 Nulls and edge cases are those of the operators.  A null text stays null until it is packed, unless the first stage
-drops it: a text without letters has no language.  Rows of one ``doc_id`` are one document to the join.
+drops it: a text without letters has no language.  The join judges rows: one of each group of near copies stays, whatever ids they have.
 """
 
 from __future__ import annotations
