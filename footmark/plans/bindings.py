@@ -13,6 +13,7 @@ from footmark.functions.timeconv import MICROS_1601_TO_1970, SECONDS_1970_TO_200
 from footmark.operators.artifacts import ARTIFACT_SCHEMA, record_id
 from footmark.plans import samples as S
 from footmark.session import prepare
+from footmark.sources.sinks import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,6 +153,24 @@ def log_lines(spark: SparkSession, sf_dir: str, logcat: bool = False) -> DataFra
         F.concat(stamp, F.lit(".123 host: "), pick(S.LOG_TEXTS, "event_id")).alias("line"))
 
 
+def text_files(rows: DataFrame, order: str, per_file: int) -> str:
+    """Writes lines as text files of so many numbers of ``order`` each, in its order; the folder they are in.
+
+    Input columns: case_id, the order, line.
+    """
+    root = new_folder(rows.sparkSession)
+    files = rows.withColumn("file_no", F.floor(F.col(order) / per_file))
+    (files.repartition("case_id", "file_no").sortWithinPartitions("case_id", "file_no", order)
+     .select("case_id", "file_no", "line").write.partitionBy("case_id", "file_no").text(root))
+    return root
+
+
+def file_of(path: str = "path") -> list[Column]:
+    """Case and number of a file that ``text_files`` wrote."""
+    return [F.replace("case_id", F.lit("case_id="), F.lit("")).alias("case_id"),
+            F.regexp_extract(path, "file_no=([0-9]+)", 1).cast("bigint").alias("file_no")]
+
+
 def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     return events(spark, sf_dir).select(

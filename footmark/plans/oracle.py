@@ -411,6 +411,9 @@ def _build() -> None:
     o["read_visits"] = with_(EV, VIS) + "SELECT event_id, browser, url, CAST(at_us AS BIGINT) AS at_us FROM vis"
     o["log_line_times"] = with_(EV, LOG) + """SELECT line_no, epoch_us(date_trunc('second', ts)) AS at_us,
       epoch_us(TRY_CAST('2023-' || strftime(ts, '%m-%d %H:%M:%S') AS TIMESTAMP)) AS dated_us FROM log"""
+    o["log_file_lines"] = with_(EV, LOG) + """SELECT case_id, l.line_no // 10000 AS file_no,
+      row_number() OVER (PARTITION BY case_id, l.line_no // 10000 ORDER BY l.line_no) AS line_no,
+      md5(strftime(l.ts, '%Y-%m-%d %H:%M:%S') || '.123 ' || line) AS line_hash FROM log l JOIN ev ON event_id = l.line_no"""
     o["install_times"] = "SELECT event_id, (epoch_us(ts) // 1000) * 1000 AS at_us FROM events"
     o["acquisition_quality"] = """WITH m AS (SELECT o_custkey AS evidence_id, CAST(floor(o_totalprice) AS BIGINT) AS sz, o_orderkey % 11 = 0 AS rem,
       CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 3 = 0 THEN '-' WHEN o_orderkey % 7 = 0 THEN '/' ELSE '+' END AS st FROM orders)
@@ -605,6 +608,12 @@ def _build() -> None:
         matched AS extracted_indicator, platform AS suspected_platform, CASE hit_type WHEN 'Model Name Hit' THEN 'Model' WHEN 'Export Marker' THEN 'Content'
         ELSE 'Platform' END AS attribution_layer,
         '[RAW] offset=' || hx || ', len=' || length || ', type=' || hit_type || ', pattern=' || matched AS notes FROM hx"""
+    o["file_hits"] = with_(*ho, """base AS (SELECT doc_id, case_id, doc_id // 500 AS file_no, coalesce(sum(strlen(text) + 1) OVER (
+        PARTITION BY case_id, doc_id // 500 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM fil)""") + """
+        SELECT b.case_id, b.file_no, CAST(pattern_no AS BIGINT) AS pattern_no, hit_type, platform, CAST(base + "offset" AS BIGINT) AS "offset",
+          length, matched FROM ho JOIN base b USING (doc_id)"""
+    o["file_sizes"] = with_(FILES) + """SELECT case_id, doc_id // 500 AS file_no, 'txt' AS ext, CAST(sum(strlen(text) + 1) AS BIGINT) AS size
+        FROM fil GROUP BY ALL"""
     o["keyword_offsets"] = """SELECT doc_id, CAST(0 AS BIGINT) AS pattern_no,
       CAST(strlen(left(text, position('token' IN lower(text)) - 1)) AS BIGINT) AS "offset" FROM documents WHERE contains(lower(text), 'token')"""
     tokens = "|".join(f"(?:{p})" for p, _ in V.HIT_TOKENS)

@@ -16,6 +16,7 @@ from footmark.operators import (
     traces, usage, visits)
 from footmark.plans import bindings as B
 from footmark.plans import samples as S
+from footmark.sources import files, ranges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +86,13 @@ def log_line_times(spark, d):
     return full.join(short, "line_no").select("line_no", us("at"), us("dated"))
 
 
+@query
+def log_file_lines(spark, d):
+    """Lines of log files, numbered in each file."""
+    root = B.text_files(B.log_lines(spark, d), "line_no", 10_000)
+    return files.read_log_lines(spark, root).select(*B.file_of(), "line_no", F.md5("line").alias("line_hash"))
+
+
 @query
 def install_times(spark, d):
     raw = F.concat(F.lit("0x"), F.lower(F.hex(F.unix_millis("ts"))))
@@ -456,6 +464,23 @@ def keyword_offsets(spark, d):
         "doc_id", big("pattern_no"), big("offset"))
 
 
+@query
+def file_hits(spark, d):
+    """Hits in files that are read in ranges: documents of a case, some hundred to a file."""
+    rows = B.files(spark, d).select("case_id", "doc_id", F.col("text").alias("line"))
+    inventory = files.file_inventory(spark, B.text_files(rows, "doc_id", 500)).where(F.col("size") > 0)
+    found = hits.scan_ranges(ranges.read_ranges(inventory, size=1 << 18), hits.hit_patterns(KEYWORDS))
+    return found.select(*B.file_of(), big("pattern_no"), "hit_type", "platform", "offset", big("length"), "matched")
+
+
+@query
+def file_sizes(spark, d):
+    """The inventory of the same files."""
+    rows = B.files(spark, d).select("case_id", "doc_id", F.col("text").alias("line"))
+    inventory = files.file_inventory(spark, B.text_files(rows, "doc_id", 500))
+    return inventory.select(*B.file_of(), "ext", "size")
+
+
 @query
 def redacted_text(spark, d):
     text = hits.redact_text(F.col("text"))

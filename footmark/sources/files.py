@@ -5,7 +5,7 @@ The first folder below the root is the case; the rest is the path in the case.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footmark.functions import fixed_values as V
@@ -24,12 +24,19 @@ def _place(full: Column, root: str, encoded: bool = True) -> tuple[Column, Colum
 def read_log_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines of text logs: case_id, path, line_no, line.  All lines are read.
 
-    ``line_no`` is a stable order key of a line, not a count from one.
+    ``line_no`` counts from one in each file, so ids made of it do not depend on how a file was split or on what lies
+    beside it.  A block counts its own lines; how many came before is a running sum over the blocks of a file.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(root).select("value", "_metadata.file_path")
+    raw = spark.read.option("recursiveFileLookup", "true").text(root).select(
+        "value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # The lines of a block follow each other in one task, which numbers them one by one.
+    blocks = raw.groupBy("file_path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     case, path = _place(F.col("file_path"), root)
-    return raw.select(case.alias("case_id"), path.alias("path"), F.monotonically_increasing_id().alias("line_no"),
-                      F.col("value").alias("line"))
+    number = F.col("before") + F.col("at") - F.col("first") + 1
+    return raw.join(before, ["file_path", "block"]).select(
+        case.alias("case_id"), path.alias("path"), number.alias("line_no"), F.col("value").alias("line"))
 
 
 def file_inventory(spark: SparkSession, root: str, content: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,16 @@ def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
     return root
 
 
+_own_folder: list[str] = []
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one; below a temporary one where a session of this machine has none."""
+    if not _own_folder and spark.sparkContext.master.startswith("local"):
+        _own_folder.append(tempfile.mkdtemp(prefix="footmark-"))
+    return f"{shared_folder(spark, *_own_folder)}/footmark-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes a table once and reads it back, so that what follows does not depend on lost executors.
 

@@ -104,6 +104,34 @@ def test_log_lines(spark, tree, rules):
     assert [(r.case_id, r.suspected_platform, r.ts.hour) for r in got] == [("B", "Claude", 16)]
 
 
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path, rules):
+    from footmark.operators import traces
+    texts = {"A/x.log": [f"2025-01-11 16:00:{i % 60:02d} {'claude.ai' if i % 7 == 0 else 'é' * (i % 50)}" for i in range(3000)],
+             "A/dir/y z.log": ["2025-01-11 16:00:00 chatgpt.com"] * 5, "B/empty.log": [], "B/one.log": ["no end of line claude.ai"]}
+    for name, lines in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("\n".join(lines) + ("" if name == "B/one.log" else "\n" * bool(lines)))
+    want = {(n.split("/", 1)[0], "/" + n.split("/", 1)[1], i, line) for n, lines in texts.items() for i, line in enumerate(lines, 1)}
+
+    def read():
+        lines = files.read_log_lines(spark, str(tmp_path)).withColumn("user_profile", F.lit("u"))
+        ids = {r.record_id for r in traces.log_artifacts(lines, rules, "unified_log").select("record_id").collect()}
+        return {(r.case_id, r.path, r.line_no, r.line) for r in lines.collect()}, ids
+
+    before, split = spark.conf.get("spark.sql.files.maxPartitionBytes"), "spark.sql.files.maxPartitionBytes"
+    rows, ids = read()
+    assert rows == want and len(ids) > 400
+    try:
+        spark.conf.set(split, "3000")
+        assert len({r[0] for r in spark.read.text(str(tmp_path / "A/x.log")).select(F.spark_partition_id()).collect()}) > 5
+        assert read() == (rows, ids)
+    finally:
+        spark.conf.set(split, before)
+    (tmp_path / "A/a first.log").write_text("nothing\n" * 100)
+    more, same = read()
+    assert same == ids and more - rows == {("A", "/a first.log", i, "nothing") for i in range(1, 101)} and rows <= more
+
+
 def test_transcripts(spark, tree):
     got = {r.name: (r.platform, r.classification, r.transcript) for r in content.classify_transcripts(
         files.read_transcripts(spark, tree).where(F.col("path").startswith("/voice"))).collect()}
