@@ -411,6 +411,10 @@ def _build() -> None:
     o["read_visits"] = with_(EV, VIS) + "SELECT event_id, browser, url, CAST(at_us AS BIGINT) AS at_us FROM vis"
     o["log_line_times"] = with_(EV, LOG) + """SELECT line_no, epoch_us(date_trunc('second', ts)) AS at_us,
       epoch_us(TRY_CAST('2023-' || strftime(ts, '%m-%d %H:%M:%S') AS TIMESTAMP)) AS dated_us FROM log"""
+    o["read_cookies"] = with_(EV) + """SELECT case_id, CAST(user_id AS VARCHAR) AS user_profile, CASE event_id % 2 WHEN 0 THEN 'Chrome' ELSE 'Firefox' END AS browser,
+      CASE event_id % 2 WHEN 0 THEN 'a.example' ELSE 'b.example' END AS host_key, CAST(event_id AS VARCHAR) AS name,
+      epoch_us(ts) - CASE WHEN event_id % 2 = 0 AND (k % 3 = 0 OR k % 5 = 0) THEN 5000000 ELSE 0 END AS at_us FROM ev"""
+    o["utf16_texts"] = "SELECT doc_id, md5(text) AS text_hash FROM documents"
     o["log_file_lines"] = with_(EV, LOG) + """SELECT case_id, l.line_no // 10000 AS file_no,
       row_number() OVER (PARTITION BY case_id, l.line_no // 10000 ORDER BY l.line_no) AS line_no,
       md5(strftime(l.ts, '%Y-%m-%d %H:%M:%S') || '.123 ' || line) AS line_hash FROM log l JOIN ev ON event_id = l.line_no"""
@@ -608,6 +612,8 @@ def _build() -> None:
         matched AS extracted_indicator, platform AS suspected_platform, CASE hit_type WHEN 'Model Name Hit' THEN 'Model' WHEN 'Export Marker' THEN 'Content'
         ELSE 'Platform' END AS attribution_layer,
         '[RAW] offset=' || hx || ', len=' || length || ', type=' || hit_type || ', pattern=' || matched AS notes FROM hx"""
+    o["capped_hits"] = with_(*ho) + """SELECT doc_id, CAST(pattern_no AS BIGINT) AS pattern_no, "offset", matched FROM ho
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "offset", pattern_no) <= 3"""
     o["file_hits"] = with_(*ho, """base AS (SELECT doc_id, case_id, doc_id // 500 AS file_no, coalesce(sum(strlen(text) + 1) OVER (
         PARTITION BY case_id, doc_id // 500 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM fil)""") + """
         SELECT b.case_id, b.file_no, CAST(pattern_no AS BIGINT) AS pattern_no, hit_type, platform, CAST(base + "offset" AS BIGINT) AS "offset",
@@ -728,6 +734,7 @@ def _build() -> None:
     o["confidence_classes"] = with_(*BASE, *ses("enr"), *EPI, *LVL) + "SELECT case_id, confidence_class, count(*) AS episodes FROM epl GROUP BY ALL"
     o["case_timeline"] = with_(*SCORED, *TIMELINE) + """SELECT case_id, record_id, epoch_us(ts) AS ts_us, event_type, description, initial_confidence,
         confidence FROM tle"""
+    o["sorted_timeline"] = with_(*SCORED, *TIMELINE) + "SELECT case_id, epoch_us(ts) AS ts_us, CAST(seq AS BIGINT) AS seq, record_id, event_type FROM tle"
     o["first_timeline_events"] = with_(*SCORED, *TIMELINE) + """SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, seq) AS row_no,
         record_id, event_type FROM tle QUALIFY row_no <= 50"""
     o["history_gaps"] = """WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev,
@@ -763,6 +770,7 @@ def _build() -> None:
         WHEN GROUPING(artifact_family) = 1 THEN 'platform' ELSE 'family' END AS level, coalesce(suspected_platform, artifact_family, 'all') AS value,
         count(*) AS artifacts, count(ts) AS timed, epoch_us(min(ts)) AS earliest_us, epoch_us(max(ts)) AS latest_us FROM art
         GROUP BY GROUPING SETS ((case_id), (case_id, suspected_platform), (case_id, artifact_family))"""
+    o["json_export"] = o["case_totals"]
     o["platform_counts"] = with_(EV, ART) + "SELECT suspected_platform, count(*) AS n FROM art GROUP BY 1 ORDER BY 2 DESC, 1"
     o["top_confidence"] = with_(*SCORED) + f"""SELECT {PK}, count(*) AS total, count(*) FILTER (WHERE classification = 'Direct') AS direct,
         count(*) FILTER (WHERE classification <> 'Direct') AS other, {LEVEL_OF} AS highest_confidence FROM scr

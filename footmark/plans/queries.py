@@ -16,7 +16,7 @@ from footmark.operators import (
     traces, usage, visits)
 from footmark.plans import bindings as B
 from footmark.plans import samples as S
-from footmark.sources import files, ranges
+from footmark.sources import files, ranges, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +86,30 @@ def log_line_times(spark, d):
     return full.join(short, "line_no").select("line_no", us("at"), us("dated"))
 
 
+@query
+def read_cookies(spark, d):
+    """Cookie tables of two browsers; the last access counts, else the creation."""
+    at, k, n = F.unix_micros("ts"), F.col("k"), F.col("event_id")
+    rows = B.events(spark, d).withColumn("user_profile", F.col("user_id").cast("string")).withColumn("name", n.cast("string"))
+    webkit, root = at + timeconv.MICROS_1601_TO_1970, sinks.new_folder(spark)
+    rows.where(n % 2 == 0).select(
+        "case_id", "user_profile", F.lit("a.example").alias("host_key"), "name", (webkit - 5_000_000).alias("creation_utc"),
+        F.when(k % 3 == 0, 0).when(k % 5 != 0, webkit).alias("last_access_utc")).write.parquet(f"{root}/chrome")
+    rows.where(n % 2 == 1).select(
+        "case_id", "user_profile", F.lit("b.example").alias("host"), "name", (at - 7_000_000).alias("creationTime"),
+        at.alias("lastAccessed")).write.parquet(f"{root}/firefox")
+    cookies = tables.read_cookies(spark, {"Chrome": f"{root}/chrome", "Firefox": f"{root}/firefox"})
+    return cookies.select("case_id", "user_profile", "browser", "host_key", "name",
+                          us_of(timeconv.to_ts_by_kind(F.col("raw_time"), F.col("time_kind"))))
+
+
+@query
+def utf16_texts(spark, d):
+    """Values stored as UTF-16 with a zero character and rubbish behind it."""
+    raw = F.concat(F.encode(F.concat("text", F.lit("\0 rubbish")), "UTF-16LE"), F.lit(b"x"))
+    return B.table(spark, d, "documents").select("doc_id", F.md5(timeconv.utf16_text(raw)).alias("text_hash"))
+
+
 @query
 def log_file_lines(spark, d):
     """Lines of log files, numbered in each file."""
@@ -456,6 +480,13 @@ def hit_artifacts(spark, d):
         "attribution_layer", "notes")
 
 
+@query
+def capped_hits(spark, d):
+    """The first three hits of each text, for a report that wants so many."""
+    return hits.cap_hits(all_hits(spark, d), "evidence_id", 3).select(
+        F.col("evidence_id").alias("doc_id"), big("pattern_no"), "offset", "matched")
+
+
 @query
 def keyword_offsets(spark, d):
     rows = B.table(spark, d, "documents").select("doc_id", "text")
@@ -714,6 +745,12 @@ def case_timeline(spark, d):
         "case_id", "record_id", us("ts"), "event_type", "description", "initial_confidence", "confidence")
 
 
+@query
+def sorted_timeline(spark, d):
+    """Events of all cases in order, for a page that shows them one after the other."""
+    return timeline.sorted_timeline(timeline.timeline(plain(spark, d))).select("case_id", us("ts"), big("seq"), "record_id", "event_type")
+
+
 @query
 def first_timeline_events(spark, d):
     rows = timeline.first_events(timeline.timeline(plain(spark, d)))
@@ -778,6 +815,14 @@ def case_totals(spark, d):
     return reports.case_totals(counted_hours(spark, d))
 
 
+@query
+def json_export(spark, d):
+    """Case totals written as JSON lines and read again."""
+    totals, root = case_totals(spark, d), sinks.new_folder(spark)
+    sinks.write_json({"case_totals": totals}, root)
+    return spark.read.schema(totals.schema).json(f"{root}/case_totals")
+
+
 @query
 def platform_counts(spark, d):
     return reports.counts_by(B.artifacts(spark, d), "suspected_platform")
