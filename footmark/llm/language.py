@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,12 @@ DIMS = 4096
 TYPICAL = 200  # distinct trigrams at which a text counts as half as telling as a long one
 
 
+@cache
 def letter_table() -> np.ndarray:
-    """1 for code points below 0x3000 that are letters or marks of letters; higher ones count as letters."""
+    """For every code point: 2 if it is a letter, 1 if it is a mark (which belongs to the word it stands in), else 0."""
     import unicodedata
-    return np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x3000)])
-
-
-LETTERS = letter_table()
+    kinds = {"L": 2, "M": 1}
+    return np.array([kinds.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
 
 
 def trigram_counts(text: str | None) -> np.ndarray | None:
@@ -44,8 +44,9 @@ def trigram_counts(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = LETTERS[np.minimum(points, 0x2FFF)] | ((points >= 0x3000) & (points < 0xE000)) | (points >= 0x20000)
-    if not letter.any():
+    kinds = letter_table()[points]
+    letter = kinds > 0
+    if not (kinds == 2).any():
         return None
     p = np.zeros(len(points) + 2, np.uint32)
     np.multiply(points, letter, out=p[1:-1])

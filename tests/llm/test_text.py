@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from llm_helpers import DOCS, documents, hard_documents
 from pyspark.sql import functions as F
 
@@ -139,3 +140,14 @@ def test_native_plan(spark):
     messages = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     made = chat.read_back(chat.format_conversations(messages.withColumn("parts", chat.text_part(F.col("text")))))
     assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().toString())
+
+
+def test_letters_of_every_script_and_nothing_else():
+    from unicodedata import category
+    for text in ("。。。", "、", "́", "̧́", "１２３", "🙂", "", "½", "—"):
+        assert language.trigram_counts(text) is None, text
+    for text in ("ﬁ ﬂ", "Ａｂｃ", "𝐚𝐛", "𐌰𐌱", "ﻻﷲ", "漢", "が", "ｱ", "𠀀", "é", "ª"):
+        assert language.trigram_counts(text) is not None, text
+    table = language.letter_table()
+    assert all((table[i] == 2) == (category(chr(i))[0] == "L") for i in range(0, 0x110000, 7))
+    assert np.array_equal(language.trigram_counts("。漢。"), language.trigram_counts(" 漢 "))
