@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footmark.functions.rules import RuleBook, default_rules
-from footmark.operators import cube, enrich, episodes, links, reports, scoring, timeline
-from footmark.plans.extractors import DEFAULT, Inputs, Registry
+from footmark.operators import cube, enrich, episodes, links, reports, scoring, timeline, tools
+from footmark.plans.extractors import DEFAULT, TOOL_INPUTS, Inputs, Registry
 from footmark.sources.sinks import stage
 
 
@@ -43,8 +43,27 @@ def score_artifacts(raw: DataFrame, coverage: DataFrame) -> DataFrame:
     return scoring.score(links.link(enrich.enrich(raw)), coverage)
 
 
-def reports_of(artifacts: DataFrame, coverage: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
-    """Result tables of scored artifacts.
+def runs_of_cases(runs: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The extractor runs of every case.  They are as many as extractors are registered, so they become constants."""
+    rows = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("extractor", "version", "status")]) for r in runs.collect()])
+    return coverage.select("case_id", F.explode(rows).alias("run")).select("case_id", "run.*")
+
+
+def governance_of(hours: DataFrame, coverage: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
+    """What a governance record says of each case: coverage, blind spots of its platforms, facts, versions in use."""
+    own = coverage if "profiles" in coverage.columns else coverage.withColumn("profiles", F.lit(0))
+    by_case = runs_of_cases(runs, coverage)
+    rolled = reports.coverage_rollup(by_case, hours, own)
+    return {
+        "coverage_rollup": rolled,
+        "governance": reports.governance_facts(hours, coverage.join(rolled.select("case_id", "families_missing"), "case_id")),
+        "blind_spots": reports.platform_blind_spots(hours, reports.blind_spots(hours.sparkSession)),
+        "drift": reports.drift_register(by_case, F.current_timestamp()),
+    }
+
+
+def reports_of(artifacts: DataFrame, coverage: DataFrame, folder: str | None = None, runs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Result tables of scored artifacts; with ``runs`` (what the registry says of its extractors) those of governance too.
 
     The hourly cube is written once; footprints, episodes and case tables are
     read from it, the tables with one row per artifact from the artifacts.
@@ -65,6 +84,7 @@ def reports_of(artifacts: DataFrame, coverage: DataFrame, folder: str | None = N
         "requirements": reports.requirement_status(hours, found),
         "confidence_classes": reports.confidence_classes(found),
         "tamper": reports.tamper_counts(hours),
+        **(governance_of(hours, coverage, runs) if runs is not None else {}),
     }
 
 
@@ -82,4 +102,8 @@ def analyze(spark: SparkSession, inputs: Inputs, coverage: DataFrame, folder: st
     raw, runs = registry.run_all(spark, inputs, rules or default_rules(), root, case_os)
     numbered = stage(with_seq(raw), "artifacts_raw", root)
     scored = stage(score_artifacts(numbered, coverage), "artifacts", root)
-    return {**reports_of(scored, coverage, root), "runs": runs}
+    out = {**reports_of(scored, coverage, root, runs), "runs": runs}
+    if all(name in inputs for name in TOOL_INPUTS):
+        entries = stage(tools.checklist(*(inputs[name] for name in TOOL_INPUTS)), "checklist", root)
+        out.update(checklist=entries, tool_coverage=tools.coverage_ledger(entries), tool_gaps=tools.gap_ledger(entries))
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footmark.functions.rules import RuleBook
-from footmark.operators import content, evidence, exports, hits, traces, visits
+from footmark.operators import content, evidence, exports, hits, tools, traces, visits
 from footmark.operators.artifacts import ARTIFACT_SCHEMA, union_artifacts
 from footmark.sources.sinks import shared_folder
 
@@ -132,3 +132,6 @@ register("StrippedImageDetector", ("binary_files",))(lambda i, r: evidence.strip
 register("HitExtractor", ("raw_texts",))(
     lambda i, r: hits.hit_artifacts(hits.scan_hits(i["raw_texts"], "text", hits.hit_patterns())))
 register("BlobExtractor", ("blobs",))(lambda i, r: hits.blob_artifacts(i["blobs"]))
+#: The tool inventory, the systems and profiles of the cases, and the paths found in them.
+TOOL_INPUTS = ("tools", "tool_systems", "tool_profiles", "tool_paths")
+register("ToolScanner", TOOL_INPUTS)(lambda i, r: tools.checklist_artifacts(tools.checklist(*(i[n] for n in TOOL_INPUTS))))

@@ -158,3 +158,29 @@ def test_capability_defaults_and_own_profiles(spark):
     rows = {r.suspected_platform: r for r in reports.with_capability(df, reports.capabilities(spark)).collect()}
     assert (rows["Tidio"].export, rows["Tidio"].capability_confidence) == (False, "low")
     assert (rows["ChatGPT"].voice, rows["ChatGPT"].capability_confidence) == (True, "high")
+
+
+def test_governance_tables(results):
+    rolled = results["coverage_rollup"].first()
+    assert (rolled.case_id, rolled.failed) == ("A", []) and {"VisitExtractor", "CookieExtractor"} <= set(rolled.succeeded)
+    assert set(rolled.families_found).isdisjoint(rolled.families_missing) and rolled.families_found and rolled.families_missing
+    facts = results["governance"].first()
+    assert {"ChatGPT", "Claude", "Gemini"} <= set(facts.platforms) and facts.families_missing == rolled.families_missing
+    assert {r.suspected_platform for r in results["blind_spots"].collect()} == set(facts.platforms)
+    versions = {r.component: r.version for r in results["drift"].collect()}
+    assert set(versions) == set(DEFAULT.extractors) and versions["ToolScanner"] == "1.0.0"
+
+
+def test_tools_of_an_inventory(spark, tmp_path):
+    from test_tools import ROWS, SCHEMA
+    case = spark.createDataFrame([("A", "Windows")], "case_id string, os string")
+    people = spark.createDataFrame([("A", "jo")], "case_id string, user_profile string")
+    paths = spark.createDataFrame([("A", "Users/jo/AppData/Local/A"), ("A", "Program Files/A")], "case_id string, path string")
+    given = {"tools": spark.createDataFrame(ROWS, SCHEMA), "tool_systems": case, "tool_profiles": people, "tool_paths": paths}
+    found = analysis.analyze(spark, given, coverage(spark), str(tmp_path))
+    assert {r.status for r in found["runs"].where("extractor = 'ToolScanner'").collect()} == {"Success"}
+    shown = found["artifacts"].where("parser_used = 'ToolScanner'").collect()
+    assert sorted(r.artifact_path for r in shown) == ["Program Files/A", "Users/jo/AppData/Local/A"]
+    assert {r.tool_id: r.status for r in found["checklist"].collect()}["a"] == "FOUND"
+    assert [r.tool_id for r in found["tool_coverage"].collect()] == ["a"]
+    assert {r.tool_id for r in found["tool_gaps"].collect()} == {r.tool_id for r in found["checklist"].collect() if r.status == "NOT_FOUND"}
