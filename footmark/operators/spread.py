@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 LEAST_SALTS = 64
 
 
-def with_salt(df: DataFrame, row_id: str = "record_id", salts: int | None = None) -> DataFrame:
+def salt_count(df: DataFrame) -> int:
+    return max(LEAST_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_salt(df: DataFrame, row_id: str | list[str] = "record_id", salts: int | None = None) -> DataFrame:
     """Adds which of the parts of its group a row belongs to.
 
     There are as many parts as shuffle partitions, which follow the size of the data and of the cluster: a group with a
     third of all rows is then no larger per part than a partition.
     """
-    parts = salts or max(LEAST_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int"))
+    columns = [row_id] if isinstance(row_id, str) else row_id
+    return df.withColumn("salt", F.pmod(F.xxhash64(*columns), F.lit(salts or salt_count(df))).cast("int"))
 
 
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -30,6 +34,19 @@ def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], row_id: list[str]) -> DataFrame:
+    """Inner join of rows with a table on keys of a handful of values, or on none (each row with each).
+
+    One key may hold much of the rows, so rows get a salt from the columns ``row_id`` and the other table is handed out
+    once per salt.  It is a merge join on purpose: Spark's size estimates leave out what ``explode`` adds, so either
+    side could be sent through the driver whole.
+    """
+    salted = with_salt(rows, row_id)
+    parts = F.lit(salt_count(rows) - 1)
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), parts)))
+    return salted.join(copies.hint("merge"), [*keys, "salt"]).drop("salt")
+
+
 def join_back(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of facts (one row per key, with their ``salts``) to salted rows.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footmark.functions import fixed_values as V
 from footmark.functions.matching import distinct
 from footmark.operators.content import evidence_class
-from footmark.operators.spread import small_side
+from footmark.operators.spread import join_few, small_side
 
 FOUND, NOT_FOUND, NOT_VERIFIED = "FOUND", "NOT_FOUND", "NOT_VERIFIED"
 
@@ -39,9 +39,7 @@ def tool_paths(tools: DataFrame) -> DataFrame:
 def expand_tool_paths(paths: DataFrame, profiles: DataFrame, case_os: DataFrame) -> DataFrame:
     """Templates to candidate paths of each case: variables, home folders and profiles filled in.
 
-    ``profiles``: case_id, user_profile.  ``case_os``: case_id, os.  The
-    templates are a small inventory, so it is the side that is sent around.
-    Returns (case_id, tool_id, candidate, ord), each candidate once.
+    ``profiles``: case_id, user_profile.  ``case_os``: case_id, os.  Returns (case_id, tool_id, candidate, ord), each candidate once.
     """
     template = F.col("template")
     filled = template
@@ -53,8 +51,8 @@ def expand_tool_paths(paths: DataFrame, profiles: DataFrame, case_os: DataFrame)
     # Variables are filled in once per template; only the user differs from case to case.
     ready = paths.withColumn("place", F.ltrim(F.when(F.col("os") == "Windows", windows).otherwise(posix), F.lit("/")))
     users = case_os.join(profiles, "case_id", "left").withColumn("user", F.coalesce("user_profile", F.lit("*")))
-    # An operating system is a key of a handful of values: the inventory goes to the tasks, unless it is large.
-    rows = users.join(small_side(ready), "os").withColumn("candidate", F.replace("place", F.lit("{user}"), F.col("user")))
+    # An operating system is a key of a handful of values, each with a large part of the inventory.
+    rows = join_few(ready, users, ["os"], ["tool_id", "ord"]).withColumn("candidate", F.replace("place", F.lit("{user}"), F.col("user")))
     return rows.groupBy("case_id", "tool_id", "candidate").agg(F.min("ord").alias("ord"))
 
 

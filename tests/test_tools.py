@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from footmark.operators import tools
+from footmark.operators.spread import join_few
 
 SCHEMA = ("tool_id string, tool_name string, category string, platform_supported array<string>, execution_surface array<string>, "
           "artifact_path_candidates map<string, array<string>>, detection_method string, notes string")
@@ -64,3 +65,30 @@ def test_texts_ledgers_and_artifacts(spark):
 def test_glob(spark):
     df = spark.createDataFrame([("a/*.x?", "a/b.x1"), ("a/*.x?", "a/b/c.x1"), ("a.b*", "axb")], "g string, p string")
     assert [r[0] for r in df.select(F.rlike("p", tools.glob_regex(F.col("g")))).collect()] == [True, False, False]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_keys_are_spread(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("n"), F.lit("Windows").alias("os"))
+    few = spark.createDataFrame([("A", "Windows"), ("B", "Windows"), ("C", "macOS")], "case_id string, os string")
+    for keys, cases in ((["os"], few), ([], few.drop("os"))):
+        found = join_few(rows, cases, keys, ["n"])
+        assert found.select("n", "case_id").distinct().count() == found.count() == 20_000 * (2 if keys else 3)
+        assert "Broadcast" not in plan(found)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            parts = [r["count"] for r in join_few(rows, cases, keys, ["n"]).groupBy(F.spark_partition_id()).count().collect()]
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert max(parts) < 0.6 * sum(parts)
+
+
+def test_inventory_of_tools_is_not_sent_around(spark):
+    t = spark.createDataFrame(ROWS, SCHEMA)
+    case = spark.createDataFrame([("A", "Windows")], "case_id string, os string")
+    prof = spark.createDataFrame([("A", "jo")], "case_id string, user_profile string")
+    text = plan(tools.expand_tool_paths(tools.tool_paths(t), prof, case))
+    assert "BroadcastHashJoin [os#" not in text and "SortMergeJoin [os#" in text
