@@ -29,11 +29,6 @@ def with_salt(df: DataFrame, row_id: str | list[str] = "record_id", salts: int |
     return df.withColumn("salt", F.pmod(F.xxhash64(*columns), F.lit(salts or salt_count(df))).cast("int"))
 
 
-def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """A table to be sent to all tasks, if a count shows that it has at most ``most`` rows; else it is joined as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def join_few(rows: DataFrame, few: DataFrame, keys: list[str], row_id: list[str]) -> DataFrame:
     """Inner join of rows with a table on keys of a handful of values, or on none (each row with each).
 

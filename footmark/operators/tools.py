@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footmark.functions import fixed_values as V
 from footmark.functions.matching import distinct
 from footmark.operators.content import evidence_class
-from footmark.operators.spread import join_few, small_side
+from footmark.operators.spread import join_few
 
 FOUND, NOT_FOUND, NOT_VERIFIED = "FOUND", "NOT_FOUND", "NOT_VERIFIED"
 
@@ -168,9 +168,9 @@ def checklist(tools: DataFrame, case_os: DataFrame, profiles: DataFrame, invento
     hits = matched.groupBy("case_id", "tool_id", "path").agg(F.min("ord").alias("ord")).groupBy("case_id", "tool_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]).alias("paths"),
         distinct(evidence_class(F.col("path"))).alias("class_count"))
-    # Every case gets every tool: the inventory is keyed by all systems a case can have.
-    systems = F.array(*[F.lit(x) for x in ("Windows", "macOS", "Linux", "iPhone", "Android", V.UNKNOWN)])
-    every = case_os.join(small_side(described.withColumn("os", F.explode(systems))), "os")
+    # Every case gets every tool, if it has one of the systems a case can have.
+    systems = ("Windows", "macOS", "Linux", "iPhone", "Android", V.UNKNOWN)
+    every = join_few(described, case_os.where(F.col("os").isin(*systems)), [], ["tool_id"])
     has_templates = F.size(F.coalesce(F.element_at("artifact_path_candidates", F.col("os")), F.array().cast("array<string>"))) > 0
     supported = F.array_contains("platform_supported", F.col("os")) | (F.col("os") == V.UNKNOWN)
     looked_for = supported & has_templates

@@ -974,7 +974,8 @@ def tool_caveats(spark, d):
 
 @query
 def tool_ledgers(spark, d):
-    entries = all_entries(spark, d)
+    # Both ledgers read the entries: they are made once.
+    entries = sinks.stage(all_entries(spark, d), "entries", sinks.new_folder(spark))
     rows = tools.coverage_ledger(entries).unionByName(tools.gap_ledger(entries))
     return rows.select("case_id", "tool_id", "ledger", "place", big("evidence_count"), "caveats")
 

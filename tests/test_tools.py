@@ -92,3 +92,9 @@ def test_inventory_of_tools_is_not_sent_around(spark):
     prof = spark.createDataFrame([("A", "jo")], "case_id string, user_profile string")
     text = plan(tools.expand_tool_paths(tools.tool_paths(t), prof, case))
     assert "BroadcastHashJoin [os#" not in text and "SortMergeJoin [os#" in text
+
+
+def test_tools_of_every_case_are_not_sent_around(spark):
+    assert "BroadcastHashJoin [os#" not in plan(entries(spark, ROWS, ["Program Files/A"]))
+    others = entries(spark, ROWS, [], os="Solaris")  # a system without tools
+    assert others.count() == 0 and entries(spark, ROWS, [], os="Linux").count() == len(ROWS)
