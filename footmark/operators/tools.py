@@ -68,7 +68,7 @@ def match_tool_paths(candidates: DataFrame, inventory: DataFrame) -> DataFrame:
 
     Plain candidates are an equi join.  One with wildcards is joined on the text
     before its first wildcard: a file offers its beginnings in the lengths that
-    wildcard candidates of its case really have, so only files that share the
+    like wildcard candidates of its case really have, so only files that share the
     beginning are compared with the pattern.  The smallest path counts.
     """
     wild = F.col("candidate").rlike(r"[*?]")
@@ -79,10 +79,18 @@ def match_tool_paths(candidates: DataFrame, inventory: DataFrame) -> DataFrame:
     globs = candidates.where(wild).select(
         "case_id", "tool_id", "ord", "candidate", glob_regex(F.col("candidate")).alias("pattern"),
         F.size(F.split("candidate", "/")).alias("depth"), F.regexp_extract("candidate", r"^[^*?]*", 0).alias("head"))
-    # A few lengths per case, on one row.
-    lengths = globs.groupBy("case_id", "depth").agg(F.collect_set(F.length("head")).alias("lengths"))
-    heads = files.withColumn("depth", F.size(F.split("path", "/"))).join(lengths, ["case_id", "depth"]).select(
-        "case_id", "path", "depth", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n")).select(
+    # How the part with the wildcard begins and how long the text before it is: a few of each per case and depth.  Most
+    # files have no such part, so they offer no beginning, and a beginning that many files share is not sent around.
+    begun = globs.groupBy("case_id", "depth", F.size(F.split("head", "/")).alias("place"),
+                          F.substring(F.substring_index("head", "/", -1), 1, 2).alias("lead")).agg(
+        F.collect_set(F.length("head")).alias("lengths"))
+    leads = begun.groupBy("case_id", "depth").agg(F.collect_list(F.struct("place", "lead", "lengths")).alias("leads"))
+    deep = files.withColumn("depth", F.size(F.split("path", "/")))
+    fits = F.filter("leads", lambda x: F.startswith(F.get(F.split("path", "/"), x["place"] - 1), x["lead"]))
+    # A case and depth may hold much of the files.
+    heads = join_few(deep, leads, ["case_id", "depth"], ["path"]).select(
+        "case_id", "path", "depth", F.explode(F.array_distinct(F.flatten(F.transform(fits, lambda x: x["lengths"])))).alias("n")).where(
+        F.length("path") >= F.col("n")).select(
         "case_id", "path", "depth", F.substring("path", F.lit(1), F.col("n")).alias("head"))
     wide = globs.join(heads, ["case_id", "depth", "head"]).where(F.rlike("path", F.col("pattern"))).groupBy(
         "case_id", "tool_id", "ord", "candidate").agg(F.min("path").alias("path"))

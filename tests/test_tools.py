@@ -1,3 +1,6 @@
+import fnmatch
+import re
+
 from pyspark.sql import functions as F
 
 from footmark.operators import tools
@@ -94,6 +97,28 @@ def test_inventory_of_tools_is_not_sent_around(spark):
     assert "BroadcastHashJoin [os#" not in text and "SortMergeJoin [os#" in text
 
 
+def test_wildcards_at_any_place(spark):
+    """Pattern, then paths with whether they fit; also where the wildcard begins a part, ends it, or comes first."""
+    cases = {
+        "Users/jo/.b*/config": ["Users/jo/.bx/config", "Users/jo/.b/config", "Users/jo/.cx/config", "Users/jo/.bx/y/config"],
+        "Users/*/x": ["Users/jo/x", "Users//x", "Users/jo/y"], "*/top": ["any/top", "any/x/top"],
+        "a?": ["ab", "a", "b"], "*": ["ab", "z"], "Users/jo/longer-*": ["Users/jo/longer-1", "Users/jo/longer", "Users/jo/lo"],
+    }
+    paths = sorted({p for ps in cases.values() for p in ps})
+    cand = spark.createDataFrame([("A", f"t{i}", g, 0) for i, g in enumerate(cases)], "case_id string, tool_id string, candidate string, ord int")
+    inv = spark.createDataFrame([("A", p) for p in paths] + [("B", "Users/jo/.bb/config")], "case_id string, path string")
+    got = {r.tool_id: r.path for r in tools.match_tool_paths(cand, inv).collect()}
+    fits = {f"t{i}": [p for p in paths if p.count("/") == g.count("/") and fnmatch.fnmatchcase(p, g)] for i, g in enumerate(cases)}
+    assert got == {t: min(ps) for t, ps in fits.items() if ps}
+
+
+def test_files_are_not_dealt_by_case_and_depth(spark):
+    cand = spark.createDataFrame([("A", "t", "Users/jo/.b*", 0)], "case_id string, tool_id string, candidate string, ord int")
+    inv = spark.range(10).select(F.lit("A").alias("case_id"), F.concat(F.lit("Users/jo/d"), "id").alias("path"))
+    text = plan(tools.match_tool_paths(cand, inv))
+    assert not re.search(r"Join \[case_id#\d+, depth#\d+\]", text)
+
+
 def test_tools_of_every_case_are_not_sent_around(spark):
     assert "BroadcastHashJoin [os#" not in plan(entries(spark, ROWS, ["Program Files/A"]))
     others = entries(spark, ROWS, [], os="Solaris")  # a system without tools
