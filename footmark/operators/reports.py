@@ -45,24 +45,26 @@ def footprints(cube: DataFrame, coverage: DataFrame) -> DataFrame:
     sums = ["n", "n_timed", "n_upload_word", "n_prompt_word", "n_response_word"]
     ends = [F.min("min_at").alias("min_at"), F.max("max_at").alias("max_at"), F.min("min_seq").alias("min_seq"),
             F.max("max_rank").alias("max_rank")]
-    # Without the profiles a platform has a bounded number of rows per hour, so the session window stays small.
-    hourly = cube.where(F.col("suspected_platform") != V.UNKNOWN).groupBy(*PLATFORM, "hour", *sorts).agg(
-        *[F.sum(c).alias(c) for c in sums], *ends)
-    # Down to one row per combination of closed-list values, so that the array for the modes stays short.
-    parts = session_starts(hourly, PLATFORM).groupBy(*PLATFORM, *sorts).agg(
-        *[F.sum(c).alias(c) for c in sums], *ends, F.collect_set("starts_at").alias("starts"))
+    # One pass over the cube gives both tables: one row per combination of closed-list values, so that the array for the
+    # modes stays short, and one per hour, so that the window for the sessions holds no more than a platform's hours.
+    both = cube.where(F.col("suspected_platform") != V.UNKNOWN).groupingSets(
+        [[*PLATFORM, *sorts], [*PLATFORM, "hour"]], *PLATFORM, "hour", *sorts).agg(
+        F.grouping("hour").alias("of_sorts"), *[F.sum(c).alias(c) for c in sums], *ends)
+    # Rows of an hour give their session starts only; their sums are those of the combinations once more.
+    counted = F.col("of_sorts") == 1
+    parts = session_starts(both, [*PLATFORM, "of_sorts"]).withColumns({c: F.when(counted, F.col(c)) for c in sums})
     kind, family = F.col("classification"), F.col("artifact_family")
     wide = parts.groupBy(*PLATFORM).agg(
         F.sum("n").alias("total"), _total(kind == "Direct").alias("direct"),
         _total(kind == "Inferred").alias("inferred"), F.min("min_at").alias("earliest_us"),
         F.max("max_at").alias("latest_us"),
-        F.when(F.sum("n_timed") > 0, F.size(F.array_distinct(F.flatten(F.collect_list("starts")))) + 1).otherwise(0).alias("sessions"),
+        F.when(F.sum("n_timed") > 0, F.count("starts_at") + 1).otherwise(0).alias("sessions"),
         F.sum("n_upload_word").alias("image_indicators"),
         _total(family.isin(V.DOWNLOADS, V.CONTENT)).alias("export_indicators"),
         F.sum("n_prompt_word").alias("prompt_remnants"), F.sum("n_response_word").alias("response_remnants"),
         F.max("max_rank").alias("best_rank"),
-        F.collect_list(F.struct(F.col("suspected_model").alias("model"), F.col("access_mode").alias("mode"), "n",
-                                F.col("min_seq").alias("first"))).alias("mix"))
+        F.collect_list(F.when(counted, F.struct(F.col("suspected_model").alias("model"), F.col("access_mode").alias("mode"), "n",
+                                                F.col("min_seq").alias("first")))).alias("mix"))
     full = coverage.select("case_id", "full_disk_available")
     text = FOOTPRINT_CAVEATS
     return (

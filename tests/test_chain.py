@@ -245,3 +245,21 @@ def test_same_result_in_every_run(spark):
     rows = random_rows(14, 100)
     first = sorted(map(str, scored(spark, rows).collect()))
     assert first == sorted(map(str, scored(spark, list(reversed(rows))).collect()))
+
+
+def test_window_of_footprint_sessions_is_small(spark, monkeypatch):
+    """The window holds a platform's hours and combinations, not one row for each pair of them."""
+    rows = [artifact(h * 30 + m, at=180 * h + m, suspected_model=f"m{m}") for h in range(20) for m in range(30)]
+    rows += [artifact(9000, suspected_model="m1"), artifact(9001, suspected_platform="Claude")]
+    seen, starts = [], reports.session_starts
+
+    def counted(numbered, keys):
+        seen.append(numbered.count())
+        return starts(numbered, keys)
+
+    monkeypatch.setattr(reports, "session_starts", counted)
+    cubed = cube.hourly_cube(table(spark, rows).withColumn("confidence", F.lit("Low")))
+    got = {r.suspected_platform: r for r in reports.footprints(cubed, coverage(spark)).collect()}
+    assert (got["ChatGPT"].total, got["ChatGPT"].sessions, got["ChatGPT"].model) == (601, 20, "m1")
+    assert (got["Claude"].total, got["Claude"].sessions) == (1, 0)
+    assert seen == [20 + 1 + 30 + 2]
