@@ -42,7 +42,8 @@ class WordIds:
 
     The tokenizer never joins words across white space, so a text's ids are the ids of its words.  A word of Latin
     letters with punctuation behind it is two pieces; the letters of many such words are encoded as one text and cut
-    where a token ends a word.  Other words are encoded one by one.  At most ``most`` words are kept.
+    where a token ends a word.  Other words are encoded one by one.  Words are kept in two generations of at most
+    ``most`` (or of one batch): when one is full the older goes, and words in use move on without being encoded again.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -53,45 +54,51 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.words)
         if len(self.words) + len(new) > self.most:
-            self.words.clear()
+            self.older, self.words = self.words, {}
             new = words
-        parts = {}
+        older, letters, parts = self.older, [], []
         for word in new:
-            core = word.rstrip(TAIL)
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:  # its lower case has a mark
-                parts[word] = core.lower(), word[len(core):]
+            if word in older:
+                self.words[word] = older[word]
+            elif word.isascii() and word.isalpha() and word.islower():
+                letters.append(word)
             else:
-                self.words[word] = self.encode(word).tobytes()
-        self.learn_letters({core for core, _ in parts.values()})
-        for word, (core, tail) in parts.items():
+                core = word.rstrip(TAIL)
+                if core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):  # its lower case has a mark
+                    parts.append((word, core.lower(), word[len(core):]))
+                else:
+                    self.words[word] = self.encode(word).tobytes()
+        for core in {core for _, core, _ in parts}.difference(letters, self.words):
+            if core in older:
+                self.words[core] = older[core]
+            else:
+                letters.append(core)
+        self.learn_letters(letters)
+        for word, core, tail in parts:
             if tail not in self.tails:
                 self.tails[tail] = self.encode(tail).tobytes()
-            self.words[word] = self.letters[core] + self.tails[tail]
+            self.words[word] = self.words[core] + self.tails[tail]
 
-    def learn_letters(self, cores: set[str]) -> None:
-        new = list(cores.difference(self.letters))
-        if len(self.letters) + len(new) > self.most:
-            self.letters.clear()
-            new = list(cores)
+    def learn_letters(self, new: list[str]) -> None:
         for at in range(0, len(new), 1000):
             part = new[at:at + 1000]
             ids = self.encode(" ".join(part))
             edge = np.flatnonzero(self.ends[ids]) + 1
             if len(edge) == len(part):
                 raw = ids.tobytes()
-                for word, a, b in zip(part, np.r_[0, 4 * edge[:-1]].tolist(), (4 * edge).tolist()):
-                    self.letters[word] = raw[a:b]
+                edge = (4 * edge).tolist()
+                self.words.update(zip(part, map(raw.__getitem__, map(slice, [0, *edge], edge))))
             else:
-                self.letters.update((word, self.encode(word).tobytes()) for word in part)
+                self.words.update((word, self.encode(word).tobytes()) for word in part)
 
 
 @cache

@@ -32,6 +32,16 @@ def test_few_words_are_kept():
         assert b"".join(map(few.words.__getitem__, text.split())) == few.encode(text).tobytes()
 
 
+def test_words_in_use_are_encoded_once(monkeypatch):
+    few, seen, encode = packing.WordIds(tokenizer_path(), most=3), [], packing.WordIds.encode
+    monkeypatch.setattr(packing.WordIds, "encode", lambda self, text: (seen.extend(text.split()), encode(self, text))[1])
+    for text in ("one two", "one Three, four", "One five three.", "one six"):
+        few.learn(set(text.split()))
+        assert b"".join(map(few.words.__getitem__, text.split())) == encode(few, text).tobytes()
+        assert len(few.words) <= 6 and len(few.older) <= 6
+    assert Counter(seen)["one"] == 1 and Counter(seen)["three"] == 1
+
+
 def test_pieces_and_places(spark):
     rows = packing.packed_documents(documents(spark), tokenizer_path(), keep_ids=True).collect()
     want = Counter()
